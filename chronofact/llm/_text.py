@@ -64,10 +64,10 @@ def slices(column, limit=SLICE_BYTES):
 class Words:
     """Word bounds in bytes, 64-bit hashes, and each text's range of words."""
 
-    __slots__ = ("starts", "ends", "bounds", "hash", "text_of")
+    __slots__ = ("starts", "ends", "bounds", "hash", "text_of", "total")
 
-    def __init__(self, starts, ends, bounds, hashes, text_of):
-        self.starts, self.ends, self.bounds, self.hash, self.text_of = starts, ends, bounds, hashes, text_of
+    def __init__(self, starts, ends, bounds, hashes, text_of, total=None):
+        self.starts, self.ends, self.bounds, self.hash, self.text_of, self.total = starts, ends, bounds, hashes, text_of, total
 
 
 class Hasher:
@@ -119,7 +119,15 @@ class Hasher:
         hashes = mix((total[ends] - total[starts]) * self.inverse[starts])
         bounds = np.searchsorted(starts, offsets)
         text_of = np.repeat(np.arange(count), np.diff(bounds))
-        return Words(starts, ends, bounds, hashes, text_of)
+        return Words(starts, ends, bounds, hashes, text_of, total)
+
+    def heads(self, words, n):
+        """(indices of words of n bytes or more, hash of their first n bytes)."""
+        at = np.flatnonzero(words.ends - words.starts >= n)
+        s = words.starts[at]
+        if not len(at):
+            return at, np.zeros(0, np.uint64)
+        return at, mix((words.total[s + n] - words.total[s]) * self.inverse[s] + np.uint64(n))
 
     def one(self, text):
         """Hashes of the words of one Python string."""

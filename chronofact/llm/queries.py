@@ -25,6 +25,12 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op3_quality(spark, sf_dir):
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark, sf_dir):
     from .licenses import DEFAULT_TEMPLATES, scan_licenses
 
@@ -45,6 +51,13 @@ def op4_license_scan(spark, sf_dir):
     )
 
 
+def op6_toxicity(spark, sf_dir):
+    from .toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_secret_scan(spark, sf_dir):
     from .secrets import KINDS, scan_secrets
 
@@ -67,5 +80,5 @@ def op10_url_filter(spark, sf_dir):
     return match_rules(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "matched_by")
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op4_license_scan, op8_secret_scan, op9_decontamination, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_quality, op4_license_scan, op6_toxicity, op8_secret_scan, op9_decontamination, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
