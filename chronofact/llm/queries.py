@@ -58,6 +58,13 @@ def op6_toxicity(spark, sf_dir):
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_top_k(spark, sf_dir):
+    from .topk import integers, top_k
+
+    vectors = integers(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_secret_scan(spark, sf_dir):
     from .secrets import KINDS, scan_secrets
 
@@ -80,5 +87,5 @@ def op10_url_filter(spark, sf_dir):
     return match_rules(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "matched_by")
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_quality, op4_license_scan, op6_toxicity, op8_secret_scan, op9_decontamination, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_quality, op4_license_scan, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
