@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bits
 from ._text import Hasher, letters_digits, mix, signed, slices, whole
 from .store import saved
 
@@ -28,8 +29,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Two masks of span 12 and weight 8.
 MASKS = ("110110010111", "111010110011")
-TABLE_BITS = 24
-PLACE = "struct<item_id:long,place:long,item:binary>"
 
 
 def masked(words, mask):
@@ -62,8 +61,7 @@ def seeds(masks, by_length, table=None):
                         own = np.diff(w.bounds)[w.text_of[at]] == len(mask)
                         at, seed = at[own], seed[own]
                     if keep is not None and len(at):
-                        slot = seed >> np.uint64(64 - TABLE_BITS)
-                        hit = (keep[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        hit = _bits.passes(keep, seed)
                         at, seed = at[hit], seed[hit]
                     if len(at):
                         text = w.text_of[at]
@@ -137,7 +135,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap:
     short = sorted(r["n"] for r in words.where(F.col("n") < span).select("n").distinct().collect())
     seed = "id long, pos long, seed long"
     tests = saved(items.mapInArrow(seeds(masks, short), seed).select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "seed").distinct())
-    bits = spark.sparkContext.broadcast(bit_table(tests))
+    bits = spark.sparkContext.broadcast(_bits.bit_table(tests.select("seed")))
     hits = (
         d.mapInArrow(lambda batches: seeds(masks, short, bits.value)(batches), seed)
         .join(tests, "seed")
@@ -147,19 +145,3 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap:
     places = hits.join(words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "place", "item")).alias("places"))
     return d.join(saved(places), "doc_id").select("doc_id", "text", "places").mapInArrow(verifier(min_overlap, slack), "doc_id long, item_id long, start long, matched long, overlap double").dropDuplicates(["doc_id", "item_id"])
 
-
-def bit_table(tests: DataFrame) -> bytes:
-    """Flags of the seeds' leading bits: always 2**TABLE_BITS / 8 bytes."""
-
-    def part(batches):
-        flags = np.zeros(1 << TABLE_BITS, bool)
-        for b in batches:
-            flags[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
-        words = np.packbits(flags, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
-
-    rows = tests.select("seed").mapInArrow(part, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros((1 << TABLE_BITS) // 64, np.int64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return words.tobytes()

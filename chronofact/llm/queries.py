@@ -25,6 +25,14 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    from .substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark, sf_dir):
     from .quality import score
 
@@ -87,5 +95,5 @@ def op10_url_filter(spark, sf_dir):
     return match_rules(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "matched_by")
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_quality, op4_license_scan, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_substring_dedup, op3_quality, op4_license_scan, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
