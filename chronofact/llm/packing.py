@@ -17,6 +17,7 @@ so the loss from sharding falls with ``shard_rows``.
 """
 
 import os
+import re
 import sys
 import zlib
 
@@ -39,14 +40,14 @@ PACKED = PIECES + ", sequence_id long, offset long"
 class Tokens:
     """Token ids of texts, through a table of stretches between spaces.
 
-    The tokenizer drops white space and never joins tokens across it, so a
-    text's ids are those of its stretches in order.  A stretch of letters, with
-    or without one mark of punctuation after it, is in turn the ids of its
-    lower-cased letters and those of the mark; every other stretch is encoded
-    as it stands.  New words of a batch are encoded in one call.
+    The tokenizer lower-cases, drops white space and never joins tokens across
+    it, so a text's ids are those of its stretches in order.  A run of letters
+    and a run of signs after it are tokens apart, so texts are lower-cased as a
+    whole and cut between the two, which leaves few different stretches.  New
+    runs of letters are encoded in one call a batch, others one by one.
     """
 
-    MARKS = frozenset(".,;:!?")
+    SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # without ' and <, which may start other tokens
 
     def __init__(self, path):
         from tokenizers import Tokenizer
@@ -56,47 +57,62 @@ class Tokens:
         last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.ends_word = last
+        self.tail = re.compile(rf"([a-z\u00df-\u00f6\u00f8-\u00ff])([{re.escape(self.SIGNS)}]+)(?=[ \t\r])")
         # The table outlives a task where Spark keeps its Python worker.
-        self.words, self.letters = sys.modules.setdefault(f"_tokens of {path}", ({"": b""}, {}))
+        self.words = sys.modules.setdefault(f"_tokens of {path}", {})
 
     def one(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def lowered(text):
+        """``text`` in lower case, or None where that depends on a letter's
+        place (capital sigma) or makes more than letters."""
+        low = text.lower()
+        return low if "\u03a3" not in text and len(low) == len(text) else None
+
+    def cut(self, text):
+        low = None if "<|" in text else self.lowered(text)
+        if low is None:
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        low = low.replace("\n", " ") + " "
+        plain = low.replace(" ", "").replace(".", "").replace(",", "").isalnum()
+        if plain and not (".." in low or ",," in low or ".," in low or ",." in low):
+            return low.replace(". ", " . ").replace(", ", " , ").split(" ")
+        return self.tail.sub(r"\1 \2", low).split(" ")
+
     def learn(self, missing):
         """Add stretches to the table."""
-        split, new = [], set()
+        words, new, split = self.words, [], []
         for w in missing:
-            core, mark = (w[:-1], w[-1]) if w[-1] in self.MARKS else (w, "")
-            # Capital sigma's lower case depends on its place; others gain a mark.
-            if core.isalpha() and "\u03a3" not in core and (low := core.lower()).isalpha():
-                core = low
-                split.append((w, core, mark))
-                if core not in self.letters:
-                    new.add(core)
+            if w.isalpha() and w.islower():
+                new.append(w)
+                continue
+            core = w.rstrip(self.SIGNS)
+            if core.isalpha() and (low := self.lowered(core)) is not None and low.isalpha():
+                split.append((w, low, w[len(core) :]))
             else:
-                self.words[w] = self.one(w)
-        new = list(new)
+                words[w] = self.one(w)
+        new += {low for _, low, _ in split} - words.keys() - set(new)
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) == len(new):
-            raw = ids.tobytes()
-            for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.letters[w] = raw[4 * a : 4 * b]
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            words.update((w, raw[a:b]) for w, a, b in zip(new, [0, *at], at))
         else:
-            self.letters.update((w, self.one(w)) for w in new)
-        for m in self.MARKS:
-            if m not in self.words:
-                self.words[m] = self.one(m)
-        self.words[""] = b""
-        self.words.update((w, self.letters[core] + self.words[mark]) for w, core, mark in split)
+            words.update((w, self.one(w)) for w in new)
+        for w, low, tail in split:
+            if tail and tail not in words:
+                words[tail] = self.one(tail)
+            words[w] = words[low] + words[tail] if tail else words[low]
 
     def texts(self, texts):
         """The ids of each text, as little-endian 32-bit bytes."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.words) + len(self.letters) > CACHED_WORDS:
+        cut = [self.cut(t) for t in texts]
+        if len(self.words) > CACHED_WORDS:
             self.words.clear()
-            self.letters.clear()
-        self.learn(set().union(*cut) - self.words.keys() - {""})
+        self.words[""] = b""
+        self.learn(set().union(*cut) - self.words.keys())
         return [b"".join(map(self.words.__getitem__, c)) for c in cut]
 
 
@@ -106,7 +122,7 @@ def cutter(path, length):
         for b in batches:
             out = [[] for _ in range(5)]
             doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for i, ids in zip(doc_ids, (x for at in range(0, len(texts), 500) for x in tokens.texts([t or "" for t in texts.slice(at, 500).to_pylist()]))):
+            for i, ids in zip(doc_ids, (x for at in range(0, len(texts), 1000) for x in tokens.texts([t or "" for t in texts.slice(at, 1000).to_pylist()]))):
                 ids += end
                 for p, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at : at + 4 * length]
