@@ -59,6 +59,12 @@ def op4_license_scan(spark, sf_dir):
     )
 
 
+def op5_near_duplicates(spark, sf_dir):
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     from .toxicity import fit, held_out, score
 
@@ -95,5 +101,5 @@ def op10_url_filter(spark, sf_dir):
     return match_rules(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "matched_by")
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_substring_dedup, op3_quality, op4_license_scan, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_substring_dedup, op3_quality, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
