@@ -145,3 +145,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap:
     places = hits.join(words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "place", "item")).alias("places"))
     return d.join(saved(places), "doc_id").select("doc_id", "text", "places").mapInArrow(verifier(min_overlap, slack), "doc_id long, item_id long, start long, matched long, overlap double").dropDuplicates(["doc_id", "item_id"])
 
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows in which an item stands; rows without an id stay."""
+    gone = saved(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs[options.get("id_col", "doc_id")] == gone["__gone"], "left_anti")
