@@ -226,7 +226,7 @@ def edges_as_of(spark, d):
 
 
 D1 = f"""{ED}, out1 AS (SELECT dst AS entity_id, 1 AS side, 0 AS o FROM ed WHERE src = {NATION} UNION ALL SELECT src, 2, src FROM ed WHERE dst = {NATION} AND valid_to = {N_OPEN}),
- v AS (SELECT {NATION} AS entity_id, 1.0 AS weight, 0 AS visit UNION ALL SELECT entity_id, 0.5, row_number() OVER (ORDER BY side, o) FROM out1 QUALIFY row_number() OVER (ORDER BY side, o) < 64)"""
+ v AS (SELECT {NATION} AS entity_id, 1.0::DOUBLE AS weight, 0 AS visit UNION ALL SELECT entity_id, 0.5::DOUBLE, row_number() OVER (ORDER BY side, o) FROM out1 QUALIFY row_number() OVER (ORDER BY side, o) < 64)"""
 
 
 def visited(spark, w) -> DataFrame:
@@ -240,8 +240,8 @@ def graph_expand_d1(spark, d):
 
 @query(f"""WITH {ED}, n AS (SELECT src AS nation, row_number() OVER (ORDER BY src) AS visit FROM ed WHERE dst = {REGION} AND rel = 'in'),
  far AS (SELECT e.src AS entity_id, row_number() OVER (ORDER BY n.visit, e.src) AS o FROM ed e JOIN n ON e.dst = n.nation WHERE e.rel = 'in')
- SELECT {REGION} AS entity_id, 1.0 AS weight, 0 AS visit UNION ALL SELECT nation, 0.5, visit FROM n
- UNION ALL SELECT entity_id, 0.25, o + (SELECT count(*) FROM n) FROM far WHERE o + (SELECT count(*) FROM n) < 64""")
+ SELECT {REGION} AS entity_id, 1.0::DOUBLE AS weight, 0 AS visit UNION ALL SELECT nation, 0.5::DOUBLE, visit FROM n
+ UNION ALL SELECT entity_id, 0.25::DOUBLE, o + (SELECT count(*) FROM n) FROM far WHERE o + (SELECT count(*) FROM n) < 64""")
 def graph_expand_d2(spark, d):
     return visited(spark, graph.walk(views.edge_history(spark, d), [REGION], 2))
 
