@@ -102,4 +102,35 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_substring_dedup, op3_quality, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Queries that SQL can express, as DuckDB runs them.  The others train a model
+#: (3, 6), run a tokenizer (1), a checksum of the method's own (8), or tolerate
+#: changes within a span (4, 9); tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+ first AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+ gone AS (SELECT DISTINCT doc_id, s + k AS pos FROM win JOIN first USING (g), range(13) r(k) WHERE doc_id > least),
+ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+ kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS t FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id),
+ n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_near_duplicates": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM d WHERE len(w) > 0)),
+ size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
+ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+ reach(id, other) AS (SELECT a, a FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+ SELECT doc_id, coalesce(c.class_id, doc_id) AS class_id FROM documents LEFT JOIN (SELECT id, min(other) AS class_id FROM reach GROUP BY id) c ON c.id = doc_id""",
+    "op7_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op10_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) END AS rest FROM pages),
+ p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+ r(action, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ m AS (SELECT page_id, arg_max(h || q, len(h || q)) AS rule, arg_max(action, len(h || q)) AS action FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
+ w AS (SELECT page_id, list_filter(['doubleclick', 'adserver', 'tracker', 'banner', 'casino', 'poker', 'porn', 'spam', 'ads', 'xxx'], lambda x: list_contains(string_split_regex(host || path, '[^A-Za-z0-9]+'), x))[1] AS word FROM p)
+ SELECT p.page_id, host, path, m.rule, coalesce(m.action, CASE WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(m.rule, word) AS matched_by FROM p JOIN w USING (page_id) LEFT JOIN m USING (page_id)""",
+}
