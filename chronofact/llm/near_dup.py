@@ -12,9 +12,8 @@ Registers are joined into bands; texts that share a band are candidates.  Links
 are verified on whole shingle sets: |A and B| / |A or B| >= ``similarity``.
 All pairs of a band are never formed.  First each is compared with the text of
 smallest id only, and linked texts become one class.  Where a band still holds
-several classes, texts are struck out that have too many shingles which no
-other text of those bands has, for no text there can reach the similarity with
-them; the pairs across classes that remain are verified one by one.
+several classes, bounds strike out the texts that cannot link to another class
+of it, and the pairs across classes that remain are verified one by one.
 """
 
 import hashlib
@@ -33,7 +32,7 @@ from .store import saved
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 48, 7
 
 
 def shingles(words, k):
@@ -120,9 +119,7 @@ def verifier(k, similarity):
                 twice = np.flatnonzero((row[1:] == row[:-1]) & (g[1:] == g[:-1]))
                 common = np.bincount(row[twice], minlength=n)
                 union = np.bincount(row, minlength=n) - common
-                # Rounded as a double would be, so that 0.8 itself counts.
-                ok = (common > 0) & (common / np.maximum(union, 1) >= similarity)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok)), pa.array((common / np.maximum(union, 1))[ok])], names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common.astype(np.int32)), pa.array((common > 0) & (common / np.maximum(union, 1) >= similarity))], names=["a", "b", "common", "linked"])
 
     return run
 
@@ -138,12 +135,13 @@ def exploded(k):
     return run
 
 
-def verified(pairs: DataFrame, d: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that reach the similarity."""
+def compared(pairs: DataFrame, d: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b, common, linked) of ``pairs`` (a, b): the shingles that both texts
+    have, and whether they reach the similarity."""
     b = d.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     a = d.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = saved(pairs).join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return saved(both.mapInArrow(verifier(k, similarity), "a long, b long, similarity double"))
+    return saved(both.mapInArrow(verifier(k, similarity), "a long, b long, common int, linked boolean"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +166,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
     shared = buckets.join(stars, "key")
     fits = F.least("size", "size_a") >= F.greatest("size", "size_a") * similarity - 1e-9
     pairs = shared.where(F.col("doc_id") > F.col("a")).where(fits).select("a", F.col("doc_id").alias("b")).distinct()
-    links = verified(pairs, d, k, similarity)
-    links = links.unionByName(crossing(shared, links, d, k, similarity))
+    seen = compared(pairs, d, k, similarity)
+    links = seen.where("linked").select("a", "b")
+    links = links.unionByName(crossing(shared, seen, d, k, similarity))
     label = connected_components(links)
     # A copy takes its text's class; a text without links is its own.
     of_copy = copies.join(label.withColumnRenamed("id", "first"), "first", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "first").alias("component"))
@@ -177,30 +176,51 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
     return ids.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
-def crossing(shared, links, d, k, similarity) -> DataFrame:
-    """Links across the classes that ``links`` leave within one band.
+def crossing(shared, seen, d, k, similarity) -> DataFrame:
+    """Links (a, b) across the classes that a band still holds when each of its
+    texts has been compared (``seen``) with the band's first text.
 
-    ``shared``: (key, doc_id, size, least) of bands of several texts, where
-    ``least`` is the band's smallest set.  A text of n shingles, u of them its
-    own among all texts of such bands, has at most n - u in common with any
-    text of at least ``least``, which bounds its best similarity.
+    ``shared``: (key, doc_id, size, a, size_a, least) of bands of several texts,
+    where ``a`` is the first and ``least`` the size of the smallest set.  Bounds
+    strike texts out, each from counts of its own and two numbers of its band:
+
+    * A text with u shingles that no other text of such bands has shares at
+      most size - u with another of at least ``least``.
+    * Let D be what a text and the first do not have in common, d its size.
+      Two texts differ in d + d' - 2 |D and D'| shingles, which may be at most
+      f (size + size'), f = (1 - similarity) / (1 + similarity), and D and D'
+      share none of the u.  So s = d - 2 u + f size of the one must not be less
+      than t = d - f size of the other, both ways round.
     """
-    label = connected_components(links)
-    rows = saved(shared.select("key", "doc_id", "size", "least").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    f = (1 - similarity) / (1 + similarity)
+    label = connected_components(seen.where("linked").select("a", "b"))
+    met = seen.select("a", F.col("b").alias("doc_id"), "common")
+    rows = saved(shared.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     several = saved(rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    rows = saved(rows.join(several, "key"))
-    texts = saved(rows.groupBy("doc_id").agg(F.first("size").alias("size"), F.min("least").alias("least")))
-    own = d.join(texts, "doc_id", "left_semi").mapInArrow(exploded(k), "doc_id long, shingle long")
+    # The first text has been compared with all that fit it in size.
+    rows = saved(rows.where("doc_id <> a").join(several, "key"))
+    own = d.join(saved(rows.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(exploded(k), "doc_id long, shingle long")
     own = own.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("own"))
-    common = F.col("size") - F.coalesce("own", F.lit(0))
-    best = common / (F.greatest(common, "least") + F.col("size") - common)
-    able = saved(texts.join(own, "doc_id", "left").where(best >= similarity - 1e-9).select("doc_id"))
-    rows = saved(rows.join(able, "doc_id", "left_semi").select("key", "doc_id", "size", "component"))
-    x = rows.select("key", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    y = rows.select("key", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
+    rows = rows.join(saved(own), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(saved(met), ["a", "doc_id"], "left")
+    most = F.col("size") - F.col("own")
+    rows = rows.where(most / (F.greatest(most, "least") + F.col("size") - most) >= similarity - 1e-9)
+    differ = F.col("size") + F.col("size_a") - 2 * F.col("common")
+    # Texts too unlike in size to be compared with the first get no bound.
+    s = F.coalesce(differ - 2 * F.col("own") + f * F.col("size"), F.lit(1e18))
+    t = F.coalesce(differ - f * F.col("size"), F.lit(-1e18))
+    rows = saved(rows.select("key", "doc_id", "size", "component", s.alias("s"), t.alias("t")))
+    band = rows.groupBy("key").agg(F.min(F.struct("t", "component")).alias("low"), F.max(F.struct("s", "component")).alias("high"))
+    rows = saved(rows.join(saved(band), "key"))
+    other = rows.groupBy("key").agg(F.min(F.when(F.col("component") != F.col("low.component"), F.col("t"))).alias("low2"), F.max(F.when(F.col("component") != F.col("high.component"), F.col("s"))).alias("high2"))
+    rows = rows.join(saved(other), "key")
+    low = F.when(F.col("component") != F.col("low.component"), F.col("low.t")).otherwise(F.col("low2"))
+    high = F.when(F.col("component") != F.col("high.component"), F.col("high.s")).otherwise(F.col("high2"))
+    rows = saved(rows.where((F.col("s") >= low - 1e-6) & (F.col("t") <= high + 1e-6)).select("key", "doc_id", "size", "component", "s", "t"))
+    side = lambda x: rows.select("key", F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "component", "s", "t")])
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).where(fits).select("a", "b").distinct()
-    return verified(pairs, d, k, similarity)
+    bounds = (F.col("s_a") >= F.col("t_b") - 1e-6) & (F.col("s_b") >= F.col("t_a") - 1e-6)
+    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & fits & bounds)
+    return compared(pairs.select("a", "b").distinct(), d, k, similarity).where("linked").select("a", "b")
 
 
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
