@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bits
-from ._text import Hasher, grams, not_space, signed, slices, whole
+from ._text import Hasher, grams, not_space, release, signed, slices, whole
 from .store import saved
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,29 +112,33 @@ def next_level(short, length, first):
     return run
 
 
-def remover(window):
+def remover(window, rows=500):
+    """Texts without what is repeated, some rows at a time."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def one(text, places, copy):
+        words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+        n = len(words)
+        edge = np.zeros(n + 1, np.int64)
+        if copy and n >= window:
+            edge[0] = 1
+        elif places.is_valid:
+            at = np.asarray(places.values.to_numpy())
+            at = np.unique(at[at + window <= n])
+            np.add.at(edge, at, 1)
+            np.subtract.at(edge, at + window, 1)
+        gone = edge.cumsum()[:n] > 0
+        step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+        spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())]
+        return n, spans, b" ".join(itertools.compress(words, ~gone) if spans else words)
+
     def run(batches):
-        for b in batches:
-            ids, kept, count, spans = b.column("doc_id"), [], [], []
-            rows = zip(b.column("text"), b.column("places"), b.column("copy").to_pylist())
-            for text, places, copy in rows:
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                n = len(words)
-                count.append(n)
-                edge = np.zeros(n + 1, np.int64)
-                if copy and n >= window:
-                    edge[0] = 1
-                elif places.is_valid:
-                    at = np.asarray(places.values.to_numpy())
-                    at = np.unique(at[at + window <= n])
-                    np.add.at(edge, at, 1)
-                    np.subtract.at(edge, at + window, 1)
-                gone = edge.cumsum()[:n] > 0
-                step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                spans.append([{"start": s, "end": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())])
-                kept.append(b" ".join(itertools.compress(words, ~gone) if spans[-1] else words))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "removed", "kept"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, rows):
+                b = whole_batch.slice(at, rows)
+                count, spans, kept = zip(*map(one, b.column("text"), b.column("places"), b.column("copy").to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "removed", "kept"])
+            release()
 
     return run
 
