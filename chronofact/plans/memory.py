@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..errors import AlreadyClosed, Corrupt, Invalid, NotFound, ReembedBusy, StorageError, TooLarge, UntrackedVectorSpace, VectorSpaceMismatch
 from ..functions.tokenizer import normalized_name, tokens
 from ..functions.vectors import check_vector, quantize
+from ..operators import lexical
 from ..operators import tags as tag_ops
 from ..operators.predicates import current
-from ..schema import EDGES, ENTITIES, FACTS, MAX_LINKS, MAX_TAGS, OPEN, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, Config
+from ..schema import EDGES, ENTITIES, FACTS, MAX_LINKS, MAX_TAGS, OPEN, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, TOKENS, Config
 from ..sources import jsonl
 from ..sources.store import Store
 from . import maintain as upkeep
@@ -69,6 +70,7 @@ class Memory:
         self.next_fact, self.next_entity, self.next_edge = (m.get(k, 0) for k in ("next_fact", "next_entity", "next_edge"))
         self.vector_space, self.rels = m.get("vector_space"), dict(m.get("rels", {}))
         self.base = {t: self.store.table(t) for t in ("facts", "entities", "edges")}
+        self.indexed = self.store.table("tokens")
         self.new = {"facts": {}, "entities": {}, "edges": {}}
         self.changed = {"facts": {}, "edges": {}}
         self.names: dict[str, int] = {}
@@ -104,6 +106,15 @@ class Memory:
     def edges(self) -> DataFrame:
         return self._table("edges")
 
+    @property
+    def tokenised(self) -> DataFrame:
+        """Tokens of every stored fact, the forgotten too until they are purged:
+        those of the generation as written with it, those of the delta now."""
+        if not self.new["facts"]:
+            return self.indexed
+        new = [(i, tokens(f["text"])) for i, f in self.new["facts"].items()]
+        return self.indexed.unionByName(self.spark.createDataFrame(new, TOKENS))
+
     # Single rows ------------------------------------------------------------
 
     def _fact(self, fact_id: int) -> dict:
@@ -399,7 +410,7 @@ class Memory:
             vector = made[0] if made else None
         q = {k: tuple(v) if isinstance(v, list) else v for k, v in q.items()}
         query = recalls.RecallQuery(now=now_ms() if now is None else now, text=text, vector=vector, **q)
-        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges), query, self.config)
+        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, self.tokenised), query, self.config)
 
     def get(self, fact_id: int) -> dict | None:
         try:
@@ -427,7 +438,7 @@ class Memory:
     def stats(self) -> dict:
         f, e = self._table("facts"), self.edges
         row = upkeep.counters(f).first()
-        terms = f.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("t")).distinct().count()
+        terms = self.tokenised.select(F.explode("tokens").alias("t")).distinct().count()
         return {
             "facts": row["facts"], "entities": self.entities.count(), "terms": terms, "edges": e.where(F.col("valid_to") == OPEN).count(), "edge_versions": e.count(),
             "vectors": f.where("vector is not null").count(), "tombstones": row["tombstones"], "hnsw_indexed": 0,
@@ -465,8 +476,13 @@ class Memory:
 
     # Upkeep -----------------------------------------------------------------
 
-    def _commit(self, tables: dict[str, DataFrame]):
+    def _commit(self, tables: dict[str, DataFrame], reindex: bool = False):
+        """Write the next generation; texts that were tokenised stay so, by a
+        semi-join, unless they are to be indexed anew."""
         every = {t: tables.get(t, self._table(t)) for t in self.base}
+        facts, known = every["facts"], self.tokenised
+        made = lexical.tokenised(facts if reindex else facts.join(known.select("fact_id"), "fact_id", "left_anti"))
+        every["tokens"] = made if reindex else known.join(facts.select("fact_id"), "fact_id", "left_semi").unionByName(made)
         state = {"next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "vector_space": self.vector_space, "rels": self.rels, "config": self.config.to_dict()}
         self.store.commit(every, state)
         self._load()
@@ -483,14 +499,15 @@ class Memory:
         f = self._table("facts")
         before = upkeep.counters(f).first()
         vectors = f.where("vector is not null").count()
-        idle = mode != "full" and not before["tombstones"]
+        anew = mode in ("full", "reindex_text")
+        idle = not anew and not before["tombstones"]
         if not idle:
-            self._commit({"facts": upkeep.purge(f)})
+            self._commit({"facts": upkeep.purge(f)}, reindex=anew)
         after = self._table("facts")
         return {
             "purged": 0 if idle else before["tombstones"], "no_op": idle, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after.count(),
             "vectors_before": vectors, "vectors_after": after.where("vector is not null").count(), "hnsw_indexed_before": 0, "hnsw_indexed_after": 0,
-            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": False, "hnsw_rebuilt": False, "edges_compacted": False,
+            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew, "hnsw_rebuilt": False, "edges_compacted": False,
         }
 
     def verify(self):

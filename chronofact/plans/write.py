@@ -20,18 +20,22 @@ def entity_upsert(names: DataFrame, tokenizer=None, known: DataFrame | None = No
     return numbered(new, ["first_at", "norm_name"], "entity_id", next_entity)
 
 
-def numbered(rows: DataFrame, order: list, name: str, start: int) -> DataFrame:
-    """``rows`` with gapless ids from ``start`` in ``order``.
+def numbered(rows: DataFrame, order: list[str], name: str, start: int, parts: int = 256) -> DataFrame:
+    """``rows`` with gapless ids from ``start`` in ``order``, whose first column
+    is a number.
 
-    Rows are dealt by range and numbered within each part; only the parts'
-    sizes meet in one place.
+    Rows are dealt into ranges between quantiles of that column and numbered
+    within each; only the ranges' sizes, at most ``parts``, meet in one place.
+    A row's range depends on its value alone, so every evaluation agrees.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.join(F.broadcast(starts), "__part").withColumn(name, nth + F.col("__before") + start).drop("__part", "__before")
+    marks = rows.select(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    marks = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast("array<long>")
+    dealt = rows.withColumn("__range", F.size(F.filter(marks, lambda m: m <= F.col(order[0]))))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    out = dealt.withColumn("__nth", nth).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")  # a row a range
+    return out.withColumn(name, F.col("__nth") + F.col("__before") + start).drop("__range", "__nth", "__before")
 
 
 def replay_links(ops: DataFrame) -> DataFrame:

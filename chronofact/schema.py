@@ -11,6 +11,7 @@ FACTS = (
     "fact_id long, entity_id long, text string, tags array<string>, metadata map<string,string>, revises long, "
     "recorded_at long, valid_from long, valid_to long, tombstone boolean, vector struct<scale:double,q:array<tinyint>,sig:array<long>>"
 )
+TOKENS = "fact_id long, tokens array<string>"
 ENTITIES = "entity_id long, name string, norm_name string, created_at long"
 EDGES = "edge_id long, src long, rel string, rel_ord long, dst long, provenance long, recorded_at long, valid_from long, valid_to long"
 
