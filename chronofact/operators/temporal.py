@@ -22,3 +22,10 @@ def edges_current(history: DataFrame) -> DataFrame:
 
 def edges_as_of(history: DataFrame, t: int) -> DataFrame:
     return history.where((F.col("valid_from") <= t) & (F.col("valid_to") > t))
+
+
+def as_of_join(facts: DataFrame, probes: DataFrame, key: str = "entity_id", at: str = "t") -> DataFrame:
+    """``probes`` with the facts of their entity that were live at their own
+    instant: an equi-join on the entity, then both clocks as a filter."""
+    own = facts.select(key, "fact_id", "recorded_at", "valid_from", "valid_to", "tombstone")
+    return probes.join(own, key).where(admit(F.col(at))).drop("recorded_at", "valid_from", "valid_to", "tombstone")

@@ -376,6 +376,15 @@ class Memory:
             raise UntrackedVectorSpace("vectors of an unknown space are stored")
         self._do({"op": "space", "now": now_ms() if now is None else now, "space": space})
 
+    def embedder_state(self) -> str:
+        return getattr(self.embedder, "state", "ready") if self.embedder else "none"
+
+    def suspend_embedder(self):
+        self.embedder.suspend()
+
+    def resume_embedder(self):
+        self.embedder.resume()
+
     def reembed(self, embedder, batch_size: int = 256) -> dict:
         """New vectors for all facts that are not forgotten, closed ones too, as
         one generation; the embedder runs on the executors, batch by batch."""

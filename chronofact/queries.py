@@ -104,6 +104,14 @@ def time_range_topk(spark, d):
     return temporal.range_topk(views.event_facts(spark, d), T - 5 * DAY, T, predicates.admit(T))
 
 
+@query(f"""WITH {EV}, p AS (SELECT event_id AS probe, user_id AS entity_id, (epoch_us(ts) // 1000) - 3600000 AS t FROM events WHERE event_type = 'purchase')
+ SELECT probe, ev.entity_id, t, fact_id FROM p JOIN ev ON p.entity_id = ev.entity_id AND recorded_at <= t AND valid_from <= t AND t < valid_to""")
+def fact_as_of_join(spark, d):
+    e = views.read(spark, d, "events").where("event_type = 'purchase'")
+    probes = e.select(F.col("event_id").alias("probe"), F.col("user_id").alias("entity_id"), (views.millis(F.col("ts")) - 3_600_000).alias("t"))
+    return temporal.as_of_join(views.event_facts(spark, d), probes).select("probe", "entity_id", "t", "fact_id")
+
+
 @query("SELECT doc_id AS fact_id FROM documents WHERE lang = 'en' AND source = 'src0'")
 def tag_and_filter(spark, d):
     return views.document_facts(spark, d).where(predicates.has_tags(["en", "src0"])).select("fact_id")

@@ -6,6 +6,7 @@ from chronofact import cli, settings
 from chronofact.errors import AtCapacity, BadName, ConfigMismatch, InUse, Invalid, NoSuchDatabase
 from chronofact.plans.memory import Memory
 from chronofact.schema import Config
+from chronofact.server import Server
 from chronofact.streaming import oplog
 from chronofact.workspace import OPEN_MAX, Workspace, checked_name
 
@@ -102,3 +103,35 @@ def test_streams(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert sorted((r["tag"], r["count"]) for r in spark.table("tag_counts").collect()) == [("x", 1), ("x", 2), ("y", 1)]
+
+
+def tool(server, name, **arguments):
+    r = server.handle({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}})["result"]
+    return r["content"][0]["text"] if r["isError"] else json.loads(r["content"][0]["text"])
+
+
+def test_server(spark, tmp_path):
+    path = str(tmp_path / "m")
+    with Memory(spark, path) as m:
+        s = Server(m)
+        out = []
+        s.serve(['{"id": 1, "method": "initialize"}', "", "{", '{"method": "notifications/initialized"}', '{"id": 2, "method": "ping"}', '{"id": 3, "method": "nope"}'], out.append)
+        answers = [json.loads(x) for x in out]
+        assert answers[0]["result"]["capabilities"] == {"tools": {}} and [a.get("error", {}).get("code") for a in answers] == [None, -32700, None, -32601]
+        assert len(s.handle({"id": 1, "method": "tools/list"})["result"]["tools"]) == 17
+        assert tool(s, "remember", text="owns a boat", entity="Ann", tags=["t"])["id"] == 0
+        assert tool(s, "recall", text="boat", entities=["ann"])["facts"][0]["fact_id"] == 0
+        assert tool(s, "revise", target=0, text="owns two boats", entity="Ann")["id"] == 1
+        assert tool(s, "link", src="Ann", rel="has", dst="boat") is None and tool(s, "unlink", src="Ann", rel="has", dst="boat") == {"closed": True}
+        assert tool(s, "show", id=1)["text"] == "owns two boats" and len(tool(s, "export")["facts"]) == 1
+        assert "NotFound" in tool(s, "forget", ids=[9]) and "Invalid" in tool(s, "refresh") and "needs text" in tool(s, "remember") and "has no x" in tool(s, "stats", x=1)
+        for name in ("tags", "stats", "verify", "checkpoint", "maintain", "version", "about", "settings_help"):
+            assert "Error" not in str(tool(s, name))
+        with Memory(spark, path, read_only=True) as r:
+            ro = Server(r)
+            assert "Invalid" in tool(ro, "remember", text="x") and tool(ro, "generation") == {"generation": 1} and tool(ro, "refresh") == {"newer": False}
+    w = Workspace(spark, str(tmp_path / "w"))
+    ws = Server(workspace=w, default="notes")
+    assert "NoSuchDatabase" in tool(ws, "stats", db="none") and tool(ws, "remember", text="hi")["id"] == 0
+    assert tool(ws, "workspace_list") == ["notes"] and tool(ws, "workspace_find", query="hi") == []
+    w.close_all()
