@@ -1,5 +1,6 @@
 """BM25 over tokenised facts, for one query or a table of queries."""
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,39 @@ def bm25(tokenised_facts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float
     return parts.groupBy("query_id", "fact_id").agg(F.round(summed, 10).alias("score"))
 
 
+def bm25_one(tokenised_facts: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``bm25`` of one query, (query_id 0, fact_id, score), without a shuffle.
+
+    One pass counts; what it brings back is a row of as many numbers as the
+    query has terms.  Then a fact's score is an expression over its own tokens.
+    """
+    wanted = list(dict.fromkeys(terms))
+    has = [F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(wanted)]
+    row = tokenised_facts.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"), *has).first()
+    n, df = row["docs"], {t: row[f"df{i}"] for i, t in enumerate(wanted)}
+    stop = {t for t in wanted if df[t] > STOP_DF_FLOOR and df[t] * STOP_DF_DIVISOR > n}
+    kept = [t for t in terms if t not in stop] or [min(terms, key=df.get)][:1]
+    kept = [t for t in kept if df[t]]
+    hits = F.filter("tokens", lambda x: x.isin(*kept)) if kept else F.array().cast("array<string>")
+    rows = tokenised_facts.select("fact_id", F.least(F.size("tokens"), F.lit(65535)).alias("len"), hits.alias("hits")).where(F.size("hits") > 0)
+    score = F.lit(0.0)
+
+    def count(term):
+        return F.least(F.size(F.filter("hits", lambda x: x == term)), F.lit(255))
+
+    for t in kept:
+        tf = count(t)
+        weight = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+        score = score + F.lit(weight) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("len") / (row["total"] / n)))
+    return rows.select(F.lit(0).cast("long").alias("query_id"), "fact_id", F.round(score, 10).alias("score"))
+
+
+def top_one(scored: DataFrame, k: int = SOURCE_CAP, score: str = "score") -> DataFrame:
+    """``top`` of one query: each task keeps k, and only those meet."""
+    best = scored.orderBy(F.desc(score), "fact_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "fact_id")))
+
+
 def top(scored: DataFrame, k: int = SOURCE_CAP, score: str = "score") -> DataFrame:
     """The k best of each query with their ``rank`` from 1, ties to the smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "fact_id")

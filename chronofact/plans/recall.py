@@ -58,20 +58,19 @@ def query_terms(spark: SparkSession, queries: dict) -> DataFrame:
 
 
 def one(ranked: DataFrame, score: str) -> DataFrame:
-    return lexical.top(ranked.withColumn("query_id", F.lit(0).cast("long")), SOURCE_CAP, score)
+    return lexical.top_one(ranked.withColumn("query_id", F.lit(0).cast("long")), SOURCE_CAP, score)
 
 
 def sources(frames: Frames, q: RecallQuery, config: Config) -> tuple[dict[int, DataFrame], graph.Walk]:
     """The ranked sources that a query asks for, and the walk of its anchors."""
-    facts, spark = frames.facts, frames.facts.sparkSession
+    facts = frames.facts
     admitted = admit(q.now if q.as_of is None else q.as_of, q.include_closed) & has_tags(list(q.tags))
     live = facts.where(admitted).select("fact_id")
     out, walked = {}, graph.Walk()
     if q.text and (terms := tokens(q.text)):
         rows = frames.tokenised if frames.tokenised is not None else lexical.tokenised(facts)
-        ts = spark.createDataFrame([(0, i, t) for i, t in enumerate(terms)], "query_id long, pos int, term string")
-        scored = lexical.bm25(rows, ts, config.bm25_k1, config.bm25_b).join(live, "fact_id", "left_semi")
-        out[BM25] = lexical.top(scored)
+        scored = lexical.bm25_one(rows, terms, config.bm25_k1, config.bm25_b).join(live, "fact_id", "left_semi")
+        out[BM25] = lexical.top_one(scored)
     if q.vector is not None:
         v = quantized_literal(check_vector(q.vector, config.dim))
         slots = facts.where("vector is not null").withColumn("slot", F.col("fact_id"))

@@ -185,6 +185,13 @@ def bm25_topk(spark, d):
     return lexical.top(lexical.bm25(docs(spark, d), terms(spark))).select("fact_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BM} SELECT fact_id, round(score, 6) AS score, rank FROM bmtop")
+def bm25_single_query(spark, d):
+    from .functions.tokenizer import tokens
+
+    return lexical.top_one(lexical.bm25_one(docs(spark, d), tokens(QUERY))).select("fact_id", F.round("score", 6).alias("score"), "rank")
+
+
 # --- vectors ----------------------------------------------------------------
 
 

@@ -36,6 +36,16 @@ def test_bm25_goldens_for_many_queries_at_once(spark, corpus):
         assert all(math.isclose(r["score"], want[r["fact_id"]], abs_tol=1e-5) for r in rows)
 
 
+def test_bm25_of_one_query_is_the_same(spark, corpus):
+    for q in (*BM25, (5, 5), (9,), (1, 9, 1)):
+        one = {r["fact_id"]: r["score"] for r in lexical.bm25_one(corpus, [f"t{t}" for t in q]).collect()}
+        many = {r["fact_id"]: r["score"] for r in lexical.bm25(corpus, terms(spark, q)).collect()}
+        assert one == pytest.approx(many, abs=1e-9)
+    assert lexical.bm25_one(corpus.where("false"), ["t1"]).count() == 0
+    plan = lexical.top_one(lexical.bm25_one(corpus, ["t1"]))._jdf.queryExecution().toString()
+    assert "Join" not in plan and "TakeOrderedAndProject" in plan
+
+
 def test_bm25_repeated_and_unknown_terms(spark, corpus):
     got = {(r["query_id"], r["fact_id"]): r["score"] for r in lexical.bm25(corpus, terms(spark, (5,), (5, 5), (9,))).collect()}
     assert math.isclose(got[1, 1], 2 * got[0, 1], abs_tol=1e-9)
