@@ -1,6 +1,6 @@
 """Flat search over quantized vectors in two steps."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, hamming
@@ -27,3 +27,34 @@ def flat_topk(vectors: DataFrame, query: Column, admitted: Column, k: int = SOUR
     """
     found = sieve(vectors, query, k).where(admitted).select("fact_id", F.round(cosine(F.col("vector"), query), 10).alias("score"))
     return found.orderBy(F.desc("score"), "fact_id").limit(k)
+
+
+QUERY_BLOCK = 1000
+
+
+def flat_topk_many(vectors: DataFrame, queries: DataFrame, admitted: Column, k: int = SOURCE_CAP, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, fact_id, score, rank): ``flat_topk`` for a table of queries
+    (query_id, vector).
+
+    Every query meets every signature, which is the search itself; queries go
+    in blocks of at most ``block`` rows, so what is broadcast is bounded, and
+    each task keeps its own best of the sieve before anything is shuffled.
+    """
+    last, out = None, None
+    while True:
+        part = (queries if last is None else queries.where(F.col("query_id") > last)).orderBy("query_id").limit(block)
+        ids = part.agg(F.count("*").alias("n"), F.max("query_id").alias("last")).first()
+        if not ids["n"]:
+            break
+        last = ids["last"]
+        asked = F.broadcast(part.select("query_id", F.col("vector").alias("query")))
+        near = vectors.crossJoin(asked).withColumn("ham", hamming(F.col("vector.sig"), F.col("query.sig")))
+        closest = Window.partitionBy("query_id").orderBy("ham", "slot")
+        near = near.withColumn("at", F.row_number().over(closest)).where(F.col("at") <= sieve_size(k)).where(admitted)
+        scored = near.select("query_id", "fact_id", F.round(cosine(F.col("vector"), F.col("query")), 10).alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
+        found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)
+        if ids["n"] < block:
+            break
+    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, fact_id long, score double, rank int")

@@ -222,6 +222,15 @@ def vec_flat_topk(spark, d):
     return found.select("fact_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id % 50 = 0),
+ sv AS (SELECT p.fact_id AS query_id, v.fact_id, v.label, round({COS}, 10) AS score FROM vq v, p QUALIFY row_number() OVER (PARTITION BY p.fact_id ORDER BY {HAM}, v.fact_id) <= 64)
+ SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM sv WHERE label <> 3 QUALIFY rank <= 16""")
+def vec_flat_topk_many(spark, d):
+    v = views.quantized(spark, d)
+    probes = v.where("fact_id % 50 = 0").select(F.col("fact_id").alias("query_id"), "vector")
+    return vector.flat_topk_many(v, probes, F.col("label") != 3, k=16, block=4).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id = 7) SELECT v.fact_id, round({COS}, 6) AS cosine FROM vq v, p")
 def vec_cosine(spark, d):
     return views.quantized(spark, d).select("fact_id", F.round(cosine(F.col("vector"), probe(spark, d)), 6).alias("cosine"))
