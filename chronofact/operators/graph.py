@@ -35,7 +35,7 @@ def neighbours(history: DataFrame, ids: list[int], as_of: int | None = None) ->
     live = history.where(F.col("valid_to") == OPEN) if as_of is None else history.where((F.col("valid_from") <= as_of) & (F.col("valid_to") > as_of))
     out = live.join(frontier, F.col("src") == F.col("at")).withColumns({"side": F.lit(0), "other": F.col("dst")})
     back = live.join(frontier, F.col("dst") == F.col("at")).withColumns({"side": F.lit(1), "other": F.col("src")})
-    order = ["side", "rel_ord", "other"] if as_of is None else ["side", F.desc("valid_from"), F.desc("edge_id")]
+    order = ["side", "rel_ord", "other", "edge_id"] if as_of is None else ["side", F.desc("valid_from"), F.desc("edge_id")]
     by = Window.partitionBy("at").orderBy(*order)
     rows = out.unionByName(back).withColumn("ord", F.row_number().over(by))
     # Up to 128 edges may be collected already, as many more can be; beyond
@@ -98,3 +98,66 @@ def candidates(facts: DataFrame, found: Walk, admitted: Column, decay: float = 0
         proof = facts.join(v, "fact_id").where(admitted).select("fact_id", F.lit(decay).alias("weight"), "at").join(own.select("fact_id"), "fact_id", "left_anti")
         own = own.unionByName(proof).orderBy("at").limit(GRAPH_FACT_CAP)
     return own.select("fact_id", "weight").orderBy(F.desc("weight"), "fact_id").limit(k)
+
+
+def _steps(history: DataFrame, frontier: DataFrame, as_of: int | None) -> DataFrame:
+    """(query_id, at, visit, ord, src, rel, dst, provenance, other) of the edges
+    at each query's frontier (query_id, entity_id, visit)."""
+    live = history.where(F.col("valid_to") == OPEN) if as_of is None else history.where((F.col("valid_from") <= as_of) & (F.col("valid_to") > as_of))
+    ends = [("src", "dst", 0), ("dst", "src", 1)]
+    out, back = (live.withColumns({"at": F.col(near), "other": F.col(far), "side": F.lit(side)}) for near, far, side in ends)
+    # Each entity's edges are put in order once, whatever queries meet there.
+    asked = frontier.select(F.col("entity_id").alias("at")).distinct()
+    order = ["side", "rel_ord", "other", "edge_id"] if as_of is None else ["side", F.desc("valid_from"), F.desc("edge_id")]
+    by, same = Window.partitionBy("at").orderBy(*order), Window.partitionBy("at", "other").orderBy(*order)
+    rows = out.unionByName(back).join(asked, "at", "left_semi")
+    rows = rows.withColumns({"ord": F.row_number().over(by), "turn": F.row_number().over(same)})
+    rows = rows.withColumn("fresh", F.sum((F.col("turn") == 1).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where((F.col("ord") <= 2 * GRAPH_EDGE_CAP) | ((F.col("turn") == 1) & (F.col("fresh") <= 2 * GRAPH_ENTITY_CAP)))
+    return rows.join(frontier.withColumnRenamed("entity_id", "at"), "at").select("query_id", "at", "visit", "ord", "src", "rel", "dst", "provenance", "other")
+
+
+def walk_many(history: DataFrame, anchors: DataFrame, depth: int = 2, decay: float = 0.5, as_of: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``walk`` for a table of queries (query_id, entity_id, pos): frames of
+    (query_id, entity_id, weight, visit) and (query_id, src, rel, dst,
+    provenance, nth).
+
+    A depth is a join keyed by entity and windows keyed by query.  Which
+    entities a walk meets does not depend on its edge cap, and the edges it
+    collects are the first by depth, visit and order, so both caps are windows.
+    """
+    q = Window.partitionBy("query_id")
+    first = anchors.groupBy("query_id", "entity_id").agg(F.min("pos").alias("pos"))
+    seen = first.withColumn("visit", F.row_number().over(q.orderBy("pos"))).where(F.col("visit") <= GRAPH_ENTITY_CAP).select("query_id", "entity_id", F.lit(1.0).alias("weight"), "visit")
+    frontier, edges = seen, None
+    for d in range(1, depth + 1):
+        steps = _steps(history, frontier.select("query_id", "entity_id", "visit"), as_of)
+        taken = steps.select("query_id", "src", "rel", "dst", "provenance", F.struct(F.lit(d).alias("d"), "visit", "ord").alias("place"))
+        edges = taken if edges is None else edges.unionByName(taken)
+        new = steps.groupBy("query_id", F.col("other").alias("entity_id")).agg(F.min(F.struct("visit", "ord")).alias("place"))
+        new = new.join(seen.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
+        held = seen.groupBy("query_id").agg(F.count("*").alias("held"))
+        new = new.join(held, "query_id").withColumn("visit", F.col("held") + F.row_number().over(q.orderBy("place"))).where(F.col("visit") <= GRAPH_ENTITY_CAP)
+        frontier = new.select("query_id", "entity_id", F.lit(decay**d).alias("weight"), F.col("visit").cast("int").alias("visit"))
+        seen = seen.unionByName(frontier)
+    if edges is None:
+        edges = seen.sparkSession.createDataFrame([], "query_id long, src long, rel string, dst long, provenance long, place struct<d:int,visit:int,ord:int>")
+    edges = edges.groupBy("query_id", "src", "rel", "dst", "provenance").agg(F.min("place").alias("place"))
+    edges = edges.withColumn("nth", F.row_number().over(q.orderBy("place"))).where(F.col("nth") <= GRAPH_EDGE_CAP).drop("place")
+    return seen, edges
+
+
+def candidates_many(facts: DataFrame, visits: DataFrame, edges: DataFrame, admitted: Column, decay: float = 0.5, k: int = SOURCE_CAP) -> DataFrame:
+    """``candidates`` for the frames of ``walk_many``: (query_id, fact_id,
+    weight, rank).  ``admitted`` may use columns of facts and visits."""
+    q = Window.partitionBy("query_id")
+    per = Window.partitionBy("query_id", "entity_id").orderBy("fact_id")
+    own = facts.join(visits, "entity_id").withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= GRAPH_EXAMINE_CAP)
+    own = own.withColumn("at", F.row_number().over(q.orderBy("visit", "fact_id"))).where(F.col("at") <= GRAPH_EXAMINE_CAP).where(admitted).select("query_id", "fact_id", "weight", "at")
+    proof = edges.where("provenance is not null").groupBy("query_id", F.col("provenance").alias("fact_id")).agg(F.min("nth").alias("nth"))
+    extra = [c for c in visits.columns if c not in ("query_id", "entity_id", "weight", "visit")]
+    known = visits.select("query_id", *extra).distinct()
+    proof = facts.join(proof.join(known, "query_id"), "fact_id").where(admitted).select("query_id", "fact_id", F.lit(decay).alias("weight"), (F.col("nth") + GRAPH_EXAMINE_CAP).alias("at"))
+    proof = proof.join(own.select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti")
+    both = own.unionByName(proof).withColumn("turn", F.row_number().over(q.orderBy("at"))).where(F.col("turn") <= GRAPH_FACT_CAP)
+    return both.withColumn("rank", F.row_number().over(q.orderBy(F.desc("weight"), "fact_id"))).where(F.col("rank") <= k).select("query_id", "fact_id", "weight", "rank")

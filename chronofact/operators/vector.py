@@ -34,7 +34,7 @@ QUERY_BLOCK = 1000
 
 def flat_topk_many(vectors: DataFrame, queries: DataFrame, admitted: Column, k: int = SOURCE_CAP, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, fact_id, score, rank): ``flat_topk`` for a table of queries
-    (query_id, vector).
+    (query_id, vector and what else ``admitted`` needs).
 
     Every query meets every signature, which is the search itself; queries go
     in blocks of at most ``block`` rows, so what is broadcast is bounded, and
@@ -47,7 +47,7 @@ def flat_topk_many(vectors: DataFrame, queries: DataFrame, admitted: Column, k:
         if not ids["n"]:
             break
         last = ids["last"]
-        asked = F.broadcast(part.select("query_id", F.col("vector").alias("query")))
+        asked = F.broadcast(part.withColumnRenamed("vector", "query"))
         near = vectors.crossJoin(asked).withColumn("ham", hamming(F.col("vector.sig"), F.col("query.sig")))
         closest = Window.partitionBy("query_id").orderBy("ham", "slot")
         near = near.withColumn("at", F.row_number().over(closest)).where(F.col("at") <= sieve_size(k)).where(admitted)

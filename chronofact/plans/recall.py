@@ -120,24 +120,33 @@ def recall(frames: Frames, q: RecallQuery, config: Config = Config()) -> RecallR
     return RecallResult(facts, edges, rendered, truncated)
 
 
-def recall_many(facts: DataFrame, tokenised: DataFrame, queries: DataFrame, config: Config = Config(), k: int = K_DEFAULT, budget: int = BUDGET_DEFAULT) -> DataFrame:
+def recall_many(facts: DataFrame, tokenised: DataFrame, queries: DataFrame, config: Config = Config(), k: int = K_DEFAULT, budget: int = BUDGET_DEFAULT, anchors: DataFrame | None = None, edges: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, fact_id, score, sources): a table of queries at once.
 
     ``queries`` is (query_id, now, terms array<string>[, from_ms, to_ms]): words
-    and, where both ends are given, a range of recorded time.  Each source and
-    the selection run once, keyed by the query; nothing is collected.
+    and, where both ends are given, a range of recorded time.  ``anchors``
+    (query_id, entity_id, pos) walk over the edge history ``edges``; ``vectors``
+    (query_id, vector) are quantized.  Each source and the selection run once,
+    keyed by the query; nothing is collected.
     """
     terms = queries.select("query_id", F.posexplode("terms").alias("pos", "term"))
-    scored = lexical.bm25(tokenised, terms, config.bm25_k1, config.bm25_b)
     when = queries.select("query_id", "now")
     live = (F.col("recorded_at") <= F.col("now")) & (F.col("valid_from") <= F.col("now")) & (F.col("valid_to") > F.col("now")) & ~F.col("tombstone")
     clocks = facts.select("fact_id", "recorded_at", "valid_from", "valid_to", "tombstone")
+    scored = lexical.bm25(tokenised, terms, config.bm25_k1, config.bm25_b)
     parts = {BM25: lexical.top(scored.join(when, "query_id").join(clocks, "fact_id").where(live).select("query_id", "fact_id", "score"))}
     if "from_ms" in queries.columns:
         span = queries.where("from_ms is not null and to_ms is not null").select("query_id", "now", "from_ms", "to_ms")
         w = Window.partitionBy("query_id").orderBy(F.desc("recorded_at"), F.desc("fact_id"))
         hit = clocks.join(span, (F.col("recorded_at") >= F.col("from_ms")) & (F.col("recorded_at") < F.col("to_ms"))).where(live)
         parts[TIME] = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SOURCE_CAP).select("query_id", "fact_id", "rank")
+    if anchors is not None:
+        visits, taken = graph.walk_many(edges, anchors, config.graph_depth, config.graph_decay)
+        known = facts.select("fact_id", "entity_id", "recorded_at", "valid_from", "valid_to", "tombstone")
+        parts[GRAPH] = graph.candidates_many(known, visits.join(when, "query_id"), taken, live, config.graph_decay)
+    if vectors is not None:
+        slots = facts.where("vector is not null").withColumn("slot", F.col("fact_id")).select("slot", "vector", *clocks.columns)
+        parts[VEC] = vector.flat_topk_many(slots, vectors.join(when, "query_id"), live)
     weights = {BM25: config.w_bm25, VEC: config.w_vec, GRAPH: config.w_graph, TIME: config.w_time}
     found = fuse.rrf(parts, weights, config.rrf_k).join(facts.select("fact_id", "text", "recorded_at"), "fact_id").join(when, "query_id")
     ranked = found.withColumn("score", F.round(fuse.recency(F.col("score"), F.col("now"), F.col("recorded_at"), config.w_recency, config.half_life_days), 10))

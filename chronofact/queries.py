@@ -286,6 +286,14 @@ def graph_candidates(spark, d):
     return order_candidates(spark, d)
 
 
+@query(f"""WITH {ED}, out1 AS (SELECT src AS query_id, dst AS entity_id, 1 AS side, 0 AS o FROM ed WHERE rel = 'in' AND dst < 100 UNION ALL SELECT n.src, e.src, 2, e.src FROM ed e JOIN ed n ON e.dst = n.src AND n.dst < 100 AND n.rel = 'in' WHERE e.rel = 'in')
+ SELECT src AS query_id, src AS entity_id, 1.0::DOUBLE AS weight, 1 AS visit FROM ed WHERE rel = 'in' AND dst < 100
+ UNION ALL SELECT query_id, entity_id, 0.5::DOUBLE, 1 + row_number() OVER (PARTITION BY query_id ORDER BY side, o) FROM out1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY side, o) < 64""")
+def graph_expand_many(spark, d):
+    n = views.read(spark, d, "nation").select((F.col("n_nationkey") + views.NATION).cast("long").alias("query_id"), (F.col("n_nationkey") + views.NATION).cast("long").alias("entity_id"), F.lit(0).alias("pos"))
+    return graph.walk_many(views.edge_history(spark, d), n, 1)[0]
+
+
 @query(f"""WITH {ED}, one AS (SELECT min(src) AS c FROM ed WHERE rel = 'placed' AND valid_from <= {ORDERS_T} AND valid_to > {ORDERS_T})
  SELECT dst AS other, 'placed' AS rel, row_number() OVER (ORDER BY valid_from DESC, edge_id DESC) AS ord FROM ed, one WHERE src = c AND rel = 'placed' AND valid_from <= {ORDERS_T} AND valid_to > {ORDERS_T}""")
 def graph_neighbours_as_of(spark, d):

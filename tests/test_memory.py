@@ -184,6 +184,30 @@ def test_vectors_and_reembedding(spark, tmp_path):
         m.verify()
 
 
+def test_recall_many_equals_single_recalls(spark, tmp_path):
+    from chronofact.functions.tokenizer import tokens
+    from chronofact.plans.memory import stored_vector
+    from chronofact.plans.recall import recall_many
+
+    e = HashingEmbedder(16)
+    with Memory(spark, str(tmp_path / "m"), Config(dim=16)) as m:
+        for i in range(30):
+            text = f"note {i} about {['rivers', 'hills', 'towns'][i % 3]}"
+            m.remember(text, entity=f"E{i % 5}", links=[("near", f"E{(i + 1) % 5}")], vector=e.embed([text])[0], now=i * DAY)
+        m.forget(4)
+        m.checkpoint()
+        asked = [("rivers towns", ["E1"], (5 * DAY, 20 * DAY)), ("hills note", ["E3", "E0"], (0, 9 * DAY)), ("nothing here", [], (40 * DAY, 50 * DAY))]
+        q = spark.createDataFrame([(i, 25 * DAY, tokens(t), *r) for i, (t, _, r) in enumerate(asked)], "query_id long, now long, terms array<string>, from_ms long, to_ms long")
+        anchors = spark.createDataFrame([(i, m.entity(n), p) for i, (_, ns, _) in enumerate(asked) for p, n in enumerate(ns)], "query_id long, entity_id long, pos int")
+        made = [(i, stored_vector(e.embed([t])[0])) for i, (t, _, _) in enumerate(asked)]
+        vectors = spark.createDataFrame(made, "query_id long, vector struct<scale:double,q:array<tinyint>,sig:array<long>>")
+        got = recall_many(m.facts, m.tokenised, q, m.config, anchors=anchors, edges=m.edges, vectors=vectors).orderBy("query_id", "rank").collect()
+        for i, (t, ns, r) in enumerate(asked):
+            one = m.recall(t, 25 * DAY, e.embed([t])[0], entities=ns, range=r)
+            assert [(x["fact_id"], x["sources"]) for x in got if x["query_id"] == i] == [(f["fact_id"], f["sources"]) for f in one.facts]
+            assert [x["score"] for x in got if x["query_id"] == i] == pytest.approx([f["score"] for f in one.facts], abs=1e-8)
+
+
 def test_embedder_policy():
     class Broken:
         dim, space_id = 1, "b"

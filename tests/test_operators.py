@@ -110,6 +110,26 @@ def test_vouching_facts_come_last(spark):
     assert [(r["fact_id"], r["weight"]) for r in got] == [(8, 1.0), (7, 0.5)]
 
 
+@pytest.mark.parametrize("as_of", [None, 50])
+def test_many_walks_equal_single_ones(spark, as_of):
+    import random
+
+    rng = random.Random(4)
+    e = history(spark, [(rng.randint(0, 60), rng.choice("ab"), rng.randint(0, 60), rng.choice((None, i)), i) for i in range(90)] + [(99, "hub", 1000 + i, None, i) for i in range(200)] + [(98, "to", 99, 3, 0)])
+    f = spark.createDataFrame([(i, rng.randint(0, 60), i, 0, OPEN, i % 7 == 0) for i in range(300)], "fact_id long, entity_id long, recorded_at long, valid_from long, valid_to long, tombstone boolean")
+    anchors = {0: [5], 1: [98, 7, 98], 2: [99], 3: [12345]}
+    a = spark.createDataFrame([(q, x, i) for q, xs in anchors.items() for i, x in enumerate(xs)], "query_id long, entity_id long, pos int")
+    visits, edges = graph.walk_many(e, a, 2, as_of=as_of)
+    ranked = graph.candidates_many(f, visits, edges, predicates.admit(200)).collect()
+    visits, edges = visits.orderBy("visit").collect(), edges.orderBy("nth").collect()
+    for q, xs in anchors.items():
+        one = graph.walk(e, xs, 2, as_of=as_of)
+        assert [(r["entity_id"], r["weight"]) for r in visits if r["query_id"] == q] == one.entities
+        assert [(r["src"], r["rel"], r["dst"], r["provenance"]) for r in edges if r["query_id"] == q] == one.edges
+        want = [(r["fact_id"], r["weight"]) for r in graph.candidates(f, one, predicates.admit(200)).collect()]
+        assert [(r["fact_id"], r["weight"]) for r in sorted(ranked, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_fusion_and_budget(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "query_id long, fact_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1)], "query_id long, fact_id long, rank int")
