@@ -27,12 +27,13 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import release
 from .store import saved
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, END, SHARD_ROWS = 2048, 0, 16_384
-CACHED_WORDS, PAIR_PIECES = 1_000_000, 24
+CACHED_WORDS, PAIR_PIECES = 400_000, 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -44,16 +45,19 @@ class Tokens:
     it, so a text's ids are those of its stretches in order.  A run of letters
     and a run of signs after it are tokens apart, so texts are lower-cased as a
     whole and cut between the two, which leaves few different stretches.  New
-    runs of letters are encoded in one call a batch, others one by one.
+    runs of letters are encoded in two calls a batch, others one by one.
     """
 
     SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # without ' and <, which may start other tokens
 
     def __init__(self, path):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of a-z the normalizer and the patterns have nothing to do.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.ends_word = last
@@ -94,13 +98,14 @@ class Tokens:
             else:
                 words[w] = self.one(w)
         new += {low for _, low, _ in split} - words.keys() - set(new)
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) == len(new):
-            raw, at = ids.tobytes(), (4 * ends).tolist()
-            words.update((w, raw[a:b]) for w, a, b in zip(new, [0, *at], at))
-        else:
-            words.update((w, self.one(w)) for w in new)
+        for tokenizer, ws in ((self.plain, [w for w in new if w.isascii()]), (self.tokenizer, [w for w in new if not w.isascii()])):
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(ws)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(ws):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                words.update((w, raw[a:b]) for w, a, b in zip(ws, [0, *at], at))
+            else:
+                words.update((w, self.one(w)) for w in ws)
         for w, low, tail in split:
             if tail and tail not in words:
                 words[tail] = self.one(tail)
@@ -110,7 +115,9 @@ class Tokens:
         """The ids of each text, as little-endian 32-bit bytes."""
         cut = [self.cut(t) for t in texts]
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            # The words met first are the frequent ones; the last go.
+            for _ in range(len(self.words) - CACHED_WORDS * 7 // 8):
+                self.words.popitem()
         self.words[""] = b""
         self.learn(set().union(*cut) - self.words.keys())
         return [b"".join(map(self.words.__getitem__, c)) for c in cut]
@@ -122,13 +129,14 @@ def cutter(path, length):
         for b in batches:
             out = [[] for _ in range(5)]
             doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for i, ids in zip(doc_ids, (x for at in range(0, len(texts), 1000) for x in tokens.texts([t or "" for t in texts.slice(at, 1000).to_pylist()]))):
+            for i, ids in zip(doc_ids, (x for at in range(0, len(texts), 300) for x in tokens.texts([t or "" for t in texts.slice(at, 300).to_pylist()]))):
                 ids += end
                 for p, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at : at + 4 * length]
                     for o, v in zip(out, (i, p, at // 4, len(own) // 4, zlib.crc32(own))):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
 
     return run
 
