@@ -24,7 +24,7 @@ def rows(columns, data):
     def plain(x):
         return round(float(x), 6) if isinstance(x, (int, float)) else None if x is None else str(x)
 
-    return sorted(tuple(plain(r[i]) for i in order) for r in data)
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
