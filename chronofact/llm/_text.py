@@ -11,7 +11,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MULT = 0x9E3779B97F4A7C15
 GRAM = 0xD1342543DE82EF95
 
@@ -100,7 +100,7 @@ class Hasher:
 
     def _grow(self, n):
         if len(self.power) < n:
-            n = max(n, 2 * len(self.power))
+            n = max(n, SLICE_BYTES + 1)
             for name, base in (("power", MULT), ("inverse", pow(MULT, -1, 1 << 64))):
                 p = np.full(n, base, np.uint64)
                 p[0] = 1
