@@ -98,5 +98,5 @@ def latin_tokens(text: Column) -> Column:
     """``tokens`` for composed Latin text, as built-in functions: array<string>."""
     low = F.translate(F.lower(F.translate(text, _WITH, _UNDER)), "­", "")
     found = F.regexp_extract_all(low, F.lit(r"((?:[\p{L}\p{N}_]|(?<=\p{L})['’.](?=\p{L})|(?<=\p{Nd})[.,](?=\p{Nd}))+)"), 1)
-    found = F.transform(found, lambda t: F.regexp_replace(t, "^_+|_+$", ""))
+    found = F.transform(found, lambda t: F.btrim(t, F.lit("_")))
     return F.coalesce(F.transform(F.filter(found, lambda t: t != ""), lambda t: F.when(F.octet_length(t) > MAX_TOKEN_BYTES, F.substring(t, 1, MAX_TOKEN_BYTES)).otherwise(t)), F.array().cast("array<string>"))
