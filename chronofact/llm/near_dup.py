@@ -184,12 +184,12 @@ def crossing(shared, seen, d, k, similarity) -> DataFrame:
     where ``a`` is the first and ``least`` the size of the smallest set.  Bounds
     strike texts out, each from counts of its own and two numbers of its band:
 
-    * A text with u shingles that no other text of such bands has shares at
-      most size - u with another of at least ``least``.
+    * A text with u shingles that no other text of such bands has, the first
+      ones included, shares at most size - u with another of at least ``least``.
     * Let D be what a text and the first do not have in common, d its size.
       Two texts differ in d + d' - 2 |D and D'| shingles, which may be at most
-      f (size + size'), f = (1 - similarity) / (1 + similarity), and D and D'
-      share none of the u.  So s = d - 2 u + f size of the one must not be less
+      f (size + size'), f = (1 - similarity) / (1 + similarity).  The u lie in
+      D, as the first has none of them, and D and D' share none of them.  So s = d - 2 u + f size of the one must not be less
       than t = d - f size of the other, both ways round.
     """
     f = (1 - similarity) / (1 + similarity)
@@ -197,10 +197,11 @@ def crossing(shared, seen, d, k, similarity) -> DataFrame:
     met = seen.select("a", F.col("b").alias("doc_id"), "common")
     rows = saved(shared.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     several = saved(rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    # The first text has been compared with all that fit it in size.
-    rows = saved(rows.where("doc_id <> a").join(several, "key"))
+    rows = saved(rows.join(several, "key"))
     own = d.join(saved(rows.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(exploded(k), "doc_id long, shingle long")
     own = own.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("own"))
+    # The first text has been compared with all that fit it in size.
+    rows = rows.where("doc_id <> a")
     rows = rows.join(saved(own), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(saved(met), ["a", "doc_id"], "left")
     most = F.col("size") - F.col("own")
     rows = rows.where(most / (F.greatest(most, "least") + F.col("size") - most) >= similarity - 1e-9)

@@ -51,6 +51,18 @@ def test_a_large_group_whose_members_link_only_in_part(spark, odd):
     assert got == brute(list(enumerate(texts)))
 
 
+def test_chains_of_edits_of_one_class(spark, odd):
+    texts = []
+    for n in range(40):
+        a = [f"c{n}w{i}" for i in range(230)]
+        b = a[:-1] + [f"c{n}y"]
+        c = [f"c{n}x{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(b)]
+        texts += [" ".join(x) for x in (a, b, c)]
+    want = brute(list(enumerate(texts)))
+    assert set(want.values()) == set(range(0, 120, 3))
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(odd(*texts)).collect()} == want
+
+
 def test_registers_agree_as_often_as_sets_overlap():
     a = mix(np.arange(1, 2001, dtype=np.uint64))
     text = np.repeat([0, 1], [1800, 1800])
