@@ -1,12 +1,12 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A text's shingles are its runs of five words (fewer words: all of them), each
-weighted by 1 + ln(occurrences).  A shingle is a Poisson process whose rate is
-its weight; each arrival falls on one of the registers at random, and a
+A text's shingles are its distinct runs of five words (fewer words: all of
+them), each of weight 1, as links are of plain sets.  A shingle is a Poisson
+process whose rate is its weight; each arrival falls on one of the registers at random, and a
 register keeps the shingle that arrives first.  A shingle's process is stopped
 as soon as its next arrival is later than every register's first, so most end
-after one arrival.  Two texts agree in a register with the probability Jaccard
-similarity of their weighted shingles.
+after one arrival.  Two texts agree in a register with the Jaccard similarity
+of their shingle sets.
 
 Registers are joined into bands; texts that share a band are candidates.  Links
 are verified on whole shingle sets: |A and B| / |A or B| >= ``similarity``.
@@ -36,7 +36,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 48, 7
 
 
 def shingles(words, k):
-    """(text, shingle, occurrences) of each text's distinct shingles."""
+    """(text, shingle) of each text's distinct shingles."""
     at = whole(words, k)
     text, g = words.text_of[at], grams(words.hash, k)[at]
     counts = np.diff(words.bounds)
@@ -50,8 +50,7 @@ def shingles(words, k):
     text, g = text[order], g[order]
     new = np.ones(len(g), bool)
     new[1:] = (text[1:] != text[:-1]) | (g[1:] != g[:-1])
-    first = np.flatnonzero(new)
-    return text[first], g[first], np.diff(np.append(first, len(g)))
+    return text[new], g[new]
 
 
 def signatures(text, shingle, weight, n, registers):
@@ -83,9 +82,9 @@ def signer(k, bands, rows):
         for b in batches:
             for row, data, offs in slices(b.column("text")):
                 n = len(offs) - 1
-                text, g, times = shingles(hasher.words(data, offs), k)
+                text, g = shingles(hasher.words(data, offs), k)
                 size = np.bincount(text, minlength=n)
-                sig = signatures(text, g, 1 + np.log(times), n, bands * rows)
+                sig = signatures(text, g, np.ones(len(g)), n, bands * rows)
                 band = np.full((n, bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
                     band = mix(band * np.uint64(0xD1342543DE82EF95) + sig[:, r * bands : (r + 1) * bands])
@@ -109,7 +108,7 @@ def verifier(k, similarity):
                 for side in ("text_a", "text_b"):
                     rows = []
                     for row, data, offs in slices(part.column(side)):
-                        t, g, _ = shingles(hasher.words(data, offs), k)
+                        t, g = shingles(hasher.words(data, offs), k)
                         rows.append((t + row, g))
                     sets.append([np.concatenate(x) for x in zip(*rows)])
                 n = part.num_rows
@@ -129,7 +128,7 @@ def exploded(k):
         hasher = Hasher(not_space())
         for b in batches:
             for row, data, offs in slices(b.column("text")):
-                t, g, _ = shingles(hasher.words(data, offs), k)
+                t, g = shingles(hasher.words(data, offs), k)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row + t)), pa.array(signed(g))], names=["doc_id", "shingle"])
 
     return run

@@ -2,12 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronofact.llm import queries
 from chronofact.llm._text import mix
 from chronofact.llm.components import connected_components
-from chronofact.llm.near_dup import first_of_class, near_duplicates, signatures
+from chronofact.llm.near_dup import BANDS, ROWS, SHINGLE, first_of_class, near_duplicates, signatures, signer
 
 from .conftest import brute_words
 
@@ -63,6 +64,16 @@ def test_chains_of_edits_of_one_class(spark, odd):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates(odd(*texts)).collect()} == want
 
 
+def test_repeated_lines_do_not_part_near_copies():
+    texts = []
+    for n in range(100):
+        w = [f"r{n}w{i}" for i in range(100)]
+        texts += [" ".join(w), " ".join(w[:30] * 20 + w[30:])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    keys = [set(k) for b in signer(SHINGLE, BANDS, ROWS)([batch]) for k in b.column("keys").to_pylist()]
+    assert all(keys[i] & keys[i + 1] for i in range(0, 200, 2))
+
+
 def test_registers_agree_as_often_as_sets_overlap():
     a = mix(np.arange(1, 2001, dtype=np.uint64))
     text = np.repeat([0, 1], [1800, 1800])
