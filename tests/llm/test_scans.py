@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -97,6 +98,23 @@ def test_leaks(spark, odd):
     assert all(len(m) == 12 and m.count("1") == 8 for m in MASKS)
 
 
+def test_leaks_with_words_exchanged_anywhere(spark, odd):
+    rng = random.Random(9)
+    items, texts, want = [], [], set()
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 30, 38, 59):
+        for _ in range(3):
+            item = [f"i{len(items)}w{i}" for i in range(n)]
+            changed = [set(rng.sample(range(n), round(n * (1 - share)))) for share in (0.65, 0.7, 0.75, 0.8, 0.85, 0.9) for _ in range(4)]
+            changed += [set(range(at, n, step)) for step in (3, 4) for at in range(step)]
+            for gone in changed:
+                if n - len(gone) >= 0.7 * n:
+                    want.add((len(texts), len(items)))
+                texts.append(" ".join(["pre", *(f"x{i}" if i in gone else w for i, w in enumerate(item)), "post"]))
+            items.append((len(items), " ".join(item)))
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(odd(*texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_leaks_query_finds_whole_items(spark, sf):
     docs = {r["doc_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
