@@ -5,8 +5,8 @@ of the same k-gram in the license templates.  A hit at word p of a text and
 word q of a template lies on diagonal p - q; votes are counted by (text,
 template, diagonal) with partial aggregation before the shuffle, neighbouring
 diagonals are merged, and each merged span is verified word for word against
-the text.  A template of a few words must stand whole; a long one must be
-covered by at least ``min_cover``.
+the text.  A template of up to ``WHOLE`` words must stand whole; the share that
+must stand then falls with the template's length, to ``min_cover``.
 
 The templates are a list given by the caller, a few thousand rows whatever the
 corpus, and so are broadcast.
@@ -27,6 +27,8 @@ from .store import saved
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+WHOLE, MATRIX = 12, 1 << 20
+
 
 @dataclass(frozen=True)
 class Template:
@@ -82,48 +84,56 @@ def rolling(k):
     return run
 
 
-def verifier(templates, slack, min_cover, k):
-    """Per text: words, base places and labels, from its candidate diagonals."""
-    split = [_words(t.text) for t in templates]
-
-    def spans_of(words, hits):
-        """(template, start, end, cover) of verified spans, base places first."""
-        out, runs = [], []
-        for t, d in sorted(hits):
-            if runs and runs[-1][0] == t and d - runs[-1][1][-1] <= slack and not templates[t].phrase:
-                runs[-1][1].append(d)
-            else:
-                runs.append((t, [d]))
-        for t, diagonals in runs:
-            want = split[t]
-            got, lo, hi = np.zeros(len(want), bool), None, None
-            for d in diagonals:
-                for q in range(max(0, -d), min(len(want), len(words) - d)):
-                    if words[d + q] == want[q]:
-                        got[q] = True
-                        lo, hi = min(d + q, lo if lo is not None else d + q), max(d + q, hi if hi is not None else -1)
-            need = 1.0 if templates[t].phrase else min_cover
-            if lo is not None and got.mean() >= need:
-                out.append((t, lo, hi + 1, float(got.mean())))
-        return out
+def cover_needed(n, min_cover):
+    """The share of a passage of ``n`` words that must stand in a text."""
+    return 1.0 if n <= WHOLE else max(min_cover, 1 - (n - WHOLE) / WHOLE / 3)
+
+
+def spans_of(own, want, diagonals, slack):
+    """(start, end, cover) of each run of neighbouring ``diagonals`` (sorted) on
+    which words of the text ``own`` are those of the template ``want``."""
+    if not len(own):
+        return []
+    first = np.flatnonzero(np.diff(diagonals, prepend=diagonals[0] - slack - 1) > slack)
+    got = np.zeros((len(first), len(want)), bool)
+    lo, hi = np.full(len(first), len(own)), np.full(len(first), -1)
+    rows = max(1, MATRIX // len(want))
+    for at in range(0, len(diagonals), rows):
+        d = diagonals[at : at + rows]
+        place = d[:, None] + np.arange(len(want))
+        there = (place >= 0) & (place < len(own))
+        same = there & (own[np.where(there, place, 0)] == want)
+        run, start = np.unique(np.searchsorted(first, np.arange(at, at + len(d)), side="right") - 1, return_index=True)
+        got[run] |= np.logical_or.reduceat(same, start)
+        lo[run] = np.minimum(lo[run], np.minimum.reduceat(np.where(same, place, len(own)).min(1), start))
+        hi[run] = np.maximum(hi[run], np.maximum.reduceat(np.where(same, place, -1).max(1), start))
+    return [(x, y + 1, c) for x, y, c in zip(lo.tolist(), hi.tolist(), got.mean(1).tolist()) if c]
+
+
+def verifier(templates, slack, min_cover):
+    """Per text: words and verified spans, from its candidate diagonals."""
 
     def run(batches):
         hasher = Hasher(letters_digits())
+        want = [hasher.one(t.text) for t in templates]
+        need = [1.0 if t.phrase else cover_needed(len(w), min_cover) for t, w in zip(templates, want)]
         for b in batches:
             n, spans = [], []
-            hits = b.column("hits").to_pylist()
+            hits = b.column("hits")
             for row, data, offs in slices(b.column("text")):
                 w = hasher.words(data, offs)
                 n.append(np.diff(w.bounds))
-                raw = None
                 for i in range(len(offs) - 1):
-                    found = []
-                    if h := hits[row + i]:
-                        raw = data.tobytes().lower() if raw is None else raw
-                        lo, hi = w.bounds[i], w.bounds[i + 1]
-                        # Bytes compare as texts do: the templates are ASCII.
-                        own = _Lazy(raw, w.starts[lo:hi], w.ends[lo:hi])
-                        found = [{"template": t, "start": int(s), "end": int(e), "cover": c} for t, s, e, c in spans_of(own, {(x["template"], x["diagonal"]) for x in h})]
+                    found, h = [], hits[row + i].values
+                    if h is not None:
+                        own = w.hash[w.bounds[i] : w.bounds[i + 1]]
+                        t, d = (np.asarray(h.field(c)) for c in ("template", "diagonal"))
+                        order = np.lexsort((d, t))
+                        t, d = t[order], d[order]
+                        for k in np.unique(t).tolist():
+                            at = np.unique(d[np.searchsorted(t, k) : np.searchsorted(t, k, side="right")])
+                            got = spans_of(own, want[k], at, -1 if templates[k].phrase else slack)
+                            found += [{"template": k, "start": s, "end": e, "cover": c} for s, e, c in got if c >= need[k]]
                     spans.append(found)
             kind = pa.list_(pa.struct([("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), pa.array(spans, kind)], names=["doc_id", "n_words", "spans"])
@@ -131,25 +141,13 @@ def verifier(templates, slack, min_cover, k):
     return run
 
 
-class _Lazy:
-    """Words of one text, cut from its bytes when asked for."""
-
-    def __init__(self, raw, starts, ends):
-        self.raw, self.starts, self.ends = raw, starts, ends
-
-    def __len__(self):
-        return len(self.starts)
-
-    def __getitem__(self, i):
-        return self.raw[self.starts[i] : self.ends[i]].decode("utf-8", "replace")
-
-
 def scan_licenses(docs: DataFrame, templates=DEFAULT_TEMPLATES, k: int = 2, slack: int = 3, min_cover: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans array<struct<template,start,end,cover>>) for each row.
 
     ``template`` is the index in ``templates``; start and end are words.  Null
     and empty texts have no words and no spans.  Repeated rows stay; rows that
-    share an id share candidates, and each is verified on its own text.
+    share an id share candidates, and each is verified on its own text.  Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -163,6 +161,6 @@ def scan_licenses(docs: DataFrame, templates=DEFAULT_TEMPLATES, k: int = 2, slac
         .agg(F.count("*").alias("votes"))
         .where(F.col("votes") >= F.get(need, F.col("template")))
     )
-    hits = saved(votes.groupBy("doc_id").agg(F.collect_list(F.struct("template", "diagonal", "votes")).alias("hits")))
+    hits = saved(votes.groupBy("doc_id").agg(F.collect_list(F.struct("template", "diagonal")).alias("hits")))
     joined = d.join(hits.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "hits")
-    return joined.mapInArrow(verifier(templates, slack, min_cover, k), "doc_id long, n_words long, spans array<struct<template:int,start:long,end:long,cover:double>>")
+    return joined.mapInArrow(verifier(templates, slack, min_cover), "doc_id long, n_words long, spans array<struct<template:int,start:long,end:long,cover:double>>")

@@ -4,7 +4,7 @@ One pass over the texts, no shuffle.  An Aho-Corasick automaton over ASCII-
 lower-cased text finds the places where a keyword stands; the pattern of the
 keyword's kind is then matched at that place alone.  Kinds that embed a
 checksum are kept only if it holds.  Runs of hexadecimal digits have no
-keyword; they are found by their own run scan.
+keyword; they are found as runs of a class of bytes, many texts at once.
 
 Kinds, in the order used to break ties: assign, access, hex, github, npm.
 """
@@ -13,10 +13,13 @@ import binascii
 import re
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from ._text import byte_class, slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -25,7 +28,7 @@ ASSIGN_KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{%d,}" % HEX_LENGTH
+HEX = byte_class((0x30, 0x39), (0x61, 0x66))
 GITHUB = r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"
 NPM = r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -40,8 +43,29 @@ def checksum62(body: str) -> str:
     return out
 
 
+def hex_runs(data, offs):
+    """{text: [(start, end), ...]} of long enough runs of hexadecimal digits, in
+    code points of the text."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = HEX[data]
+    edge = inside[1:] != inside[:-1]
+    edge[offs] = inside[1:][offs] | inside[:-1][offs]  # runs end where texts do
+    at = np.flatnonzero(edge)
+    # Between two edges all bytes are alike, so a run is an edge and the next.
+    start, end = at[:-1], at[1:]
+    run = inside[1:][start] & (end - start >= HEX_LENGTH)
+    out = {}
+    if run.any():
+        start, end = start[run], end[run]
+        text = np.searchsorted(offs, start, side="right") - 1
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        for i, s, e in zip(text.tolist(), (points[start] - points[offs[text]]).tolist(), (points[end] - points[offs[text]]).tolist()):
+            out.setdefault(i, []).append((s, e))
+    return out
+
+
 class Scanner:
-    """``spans(text)``: sorted (start, kind index, end) in code points, end exclusive."""
+    """Spans are sorted (start, kind index, end) in code points, end exclusive."""
 
     def __init__(self):
         import ahocorasick
@@ -55,7 +79,6 @@ class Scanner:
         self.auto.add_word("npm_", (4, 4))
         self.auto.make_automaton()
         self.anchored = {0: re.compile(ASSIGN, re.I | re.A), 1: re.compile(ACCESS), 3: re.compile(GITHUB), 4: re.compile(NPM)}
-        self.hex = re.compile(HEX)
 
     @staticmethod
     def valid(kind, m):
@@ -65,8 +88,16 @@ class Scanner:
             return m.end() - m.start() >= ACCESS_LENGTH
         return checksum62(m[1]) == m[2]
 
-    def spans(self, text):
-        out = [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
+    def column(self, texts):
+        """Spans of each text of an Arrow column; nulls have none."""
+        for row, data, offs in slices(texts):
+            hexes = hex_runs(data, offs)
+            for i in range(len(offs) - 1):
+                yield self.spans(texts[row + i].as_py() or "", hexes.get(i, ()))
+
+    def spans(self, text, hexes):
+        """Spans of one text; ``hexes``: where its runs of digits stand."""
+        out = [(s, 2, e) for s, e in hexes]
         # Bytes lower-case A-Z alone, which keeps every code point's place.
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         hits = sorted((end - n + 1, kind) for end, (n, kind) in self.auto.iter(low))
@@ -83,7 +114,7 @@ class Scanner:
 def _scan(batches):
     scanner = Scanner()
     for b in batches:
-        rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner.spans(t.as_py() or "")] for t in b.column("text")]
+        rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans] for spans in scanner.column(b.column("text"))]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
@@ -114,7 +145,7 @@ def _redact(batches):
     scanner = Scanner()
     for b in batches:
         i, k = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
-        texts = [None if (t := x.as_py()) is None else redacted(t, scanner.spans(t)) for x in b.column(i)]
+        texts = [None if (t := x.as_py()) is None else redacted(t, spans) for x, spans in zip(b.column(i), scanner.column(b.column(i)))]
         cols = list(b.columns)
         cols[i] = pa.array(texts, b.schema.field(i).type)
         if k >= 0:

@@ -2,12 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronofact.llm import queries
 from chronofact.llm.decontam import MASKS, find_leaks, without_leaks
-from chronofact.llm.licenses import PASSAGES, Template, scan_licenses
-from chronofact.llm.secrets import Scanner, checksum62, redact_secrets, redacted, scan_secrets
+from chronofact.llm.licenses import DEFAULT_TEMPLATES, PASSAGES, Template, cover_needed, scan_licenses
+from chronofact.llm.secrets import Scanner, checksum62, hex_runs, redact_secrets, redacted, scan_secrets
 from chronofact.llm.url_filter import Rule, match_rules, site_rule, word_rule
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -45,10 +47,20 @@ def test_secrets_edges(spark, odd):
     assert clean[0]["text"] is None and clean[7]["text"] == f"x [SECRET] {bad}" and clean[7]["n_chars"] == len(clean[7]["text"])
     assert redact_secrets(odd("a")).columns == odd("a").columns
     assert redacted("abcdef", [(1, 0, 3), (2, 1, 5)]) == "a[SECRET]f"
-    assert Scanner().spans("plain") == []
+    assert list(Scanner().column(pa.array(["plain", None]))) == [[], []]
     assert scan_secrets(odd("a").where("false")).count() == 0
 
 
+def test_hex_runs_against_a_pattern():
+    rng = random.Random(8)
+    for _ in range(200):
+        texts = ["".join(rng.choice("0af9gé日 ") if rng.random() < 0.1 else rng.choice("09af") for _ in range(rng.randint(0, 90))) for _ in range(6)]
+        raw = [t.encode() for t in texts]
+        offs = np.cumsum([0, *map(len, raw)])
+        got = hex_runs(np.frombuffer(b"".join(raw), np.uint8), offs)
+        assert got == {i: own for i, t in enumerate(texts) if (own := [m.span() for m in re.finditer("[0-9a-f]{16,}", t)])}
+
+
 def license_brute(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     hits = []
@@ -78,6 +90,14 @@ def test_license_edges(spark, odd):
         passage = [s for s in r["spans"] if s["template"] == 3]
         assert bool(passage) == (i == 5) and (i != 5 or passage[0]["cover"] > 0.9)
     assert scan_licenses(d.where("false")).count() == 0
+    near = ["this work is licensed under a proprietary agreement", "licensed under cc terms", "this source code form is subject to the terms of the", "Licensed under CC BY 4.0", PASSAGES[-1].text + " " + " ".join(PASSAGES[5].text.split()[:-1])]
+    got = {r["doc_id"]: {DEFAULT_TEMPLATES[s["template"]].label for s in r["spans"]} for r in scan_licenses(odd(*near)).collect()}
+    assert got == {0: set(), 1: set(), 2: set(), 3: {"cc"}, 4: {"cc", "mpl"}}
+    assert [cover_needed(n, 0.6) for n in (4, 12, 30)] == [1, 1, 0.6] and 0.8 < cover_needed(17, 0.6) < 0.9
+    many = scan_licenses(odd("mit license " * 60_000 + " ".join(mit) * 300)).first()["spans"]
+    loop = odd("the license " * 200_000, "").withColumn("doc_id", F.lit(1).cast("long"))
+    assert [len(r["spans"]) for r in scan_licenses(loop).collect()] == [0, 0]
+    assert sum(s["template"] == 0 for s in many) == 60_000 and sum(s["template"] == 3 for s in many) == 300
     # A word put in moves the rest to the next diagonal; the two are one span.
     own = (Template("x", "a b c d e f g h i j"),)
     got = scan_licenses(odd("a b c d e new f g h i j"), own).first()["spans"]
