@@ -42,6 +42,28 @@ def exact_masks(n):
     return ("111", "1101", "1011") if n == 4 else ("1" * n,)
 
 
+def least_hits(n: int, min_overlap: float, masks=LIGHT) -> int:
+    """The fewest hits of ``masks`` in any item of ``n`` words of which at least
+    ``min_overlap`` stands, over all ways to exchange the others; at least 1
+    means that no such item is missed.
+
+    Word by word, over the states (which of the last words stand, how many do).
+    """
+    span = max(map(len, masks))
+    wanted = [(int(m[::-1], 2) << (span - len(m)), len(m)) for m in masks]
+    fewest = {(0, 0): 0}
+    for i in range(n):
+        step = {}
+        for (last, stand), hits in fewest.items():
+            for here in (0, 1):
+                seen = (last >> 1) | here << (span - 1)
+                more = hits + sum(m <= i + 1 and seen & w == w for w, m in wanted)
+                key = seen, stand + here
+                step[key] = min(step.get(key, more), more)
+        fewest = step
+    return min(hits for (_, stand), hits in fewest.items() if stand >= min_overlap * n)
+
+
 def masked(words, mask):
     """(indices of words, hash) of each run of one text under ``mask``."""
     at = whole(words, len(mask))
@@ -94,22 +116,23 @@ def item_words(batches):
 
 
 def verifier(min_overlap, slack):
+    """Of each text its items that stand in it, each with its best place."""
+
     def run(batches):
         hasher = Hasher(letters_digits())
         for b in batches:
             out = {"doc_id": [], "item_id": [], "start": [], "matched": [], "overlap": []}
-            ids, places = b.column("doc_id").to_pylist(), b.column("places").to_pylist()
+            ids, items = b.column("doc_id").to_pylist(), b.column("items")
             for row, data, offs in slices(b.column("text")):
                 w = hasher.words(data, offs)
                 for i in range(len(offs) - 1):
-                    own, best = w.hash[w.bounds[i] : w.bounds[i + 1]], {}
-                    for x in places[row + i]:
-                        item = np.frombuffer(x["item"], np.uint64)
-                        got = _aligned(own, item, x["place"], slack)
-                        best[x["item_id"]] = max(best.get(x["item_id"], (0, 0, 1)), (got, -x["place"], len(item)))
-                    for item_id, (got, place, n) in best.items():
-                        if got >= min_overlap * n:
-                            for k, v in zip(out, (ids[row + i], item_id, max(0, -place), got, got / n)):
+                    own = w.hash[w.bounds[i] : w.bounds[i + 1]]
+                    for x in items[row + i].values:
+                        item = np.frombuffer(x["item"].as_py(), np.uint64)
+                        places = x["places"].values.to_numpy()
+                        got, _, place = max((*_aligned(own, item, int(p), slack), -int(p)) for p in places)
+                        if got >= min_overlap * len(item):
+                            for k, v in zip(out, (ids[row + i], x["item_id"].as_py(), max(0, -place), got, got / len(item))):
                                 out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("matched", pa.int64()), ("overlap", pa.float64())]))
 
@@ -117,20 +140,22 @@ def verifier(min_overlap, slack):
 
 
 def _aligned(own, item, place, slack):
-    """Words of ``item`` found at ``place``, or moved by at most ``slack``
-    where a word was put in or left out before them."""
-    got = np.zeros(len(item), bool)
+    """(words of ``item`` found at ``place``, or moved by at most ``slack`` where
+    a word was put in or left out before them, those at ``place`` alone)."""
+    got, there = np.zeros(len(item), bool), 0
     for d in range(place - slack, place + slack + 1):
         lo, hi = max(0, -d), min(len(item), len(own) - d)
         if lo < hi:
             same = own[lo + d : hi + d] == item[lo:hi]
-            if d != place:  # off the diagonal only runs of words count
+            if d == place:
+                there = int(same.sum())
+            else:  # off the diagonal only runs of words count
                 run = same.copy()
                 run[1:] &= same[:-1]
                 run[:-1] |= run[1:]
                 same = run
             got[lo:hi] |= same
-    return int(got.sum())
+    return int(got.sum()), there
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap: float = 0.7, slack: int = 2, id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
@@ -142,7 +167,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap:
 
     ``start`` is the item's first word in the document (0 if before it).  Texts
     that are null, empty or without words match nothing, nor do rows without an
-    id.  Rows repeated in either table give one row.
+    id.  Rows repeated in either table give one row; where one id has several
+    texts, their best overlap, of equal ones the first place.  Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
@@ -163,9 +190,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, min_overlap:
     hits = saved(hits)
     # Ids alone are small: most documents are left out before texts are shuffled.
     d = d.join(saved(hits.select("doc_id").distinct()), "doc_id", "left_semi")
-    places = hits.join(words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "place", "item")).alias("places"))
-    return d.join(saved(places), "doc_id").select("doc_id", "text", "places").mapInArrow(verifier(min_overlap, slack), "doc_id long, item_id long, start long, matched long, overlap double").dropDuplicates(["doc_id", "item_id"])
-
+    # An item's words go once to each document that it may stand in, whatever
+    # the number of places there.
+    places = hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("place")).alias("places")).join(words, "item_id")
+    items = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "places")).alias("items"))
+    found = d.join(saved(items), "doc_id").select("doc_id", "text", "items").mapInArrow(verifier(min_overlap, slack), "doc_id long, item_id long, start long, matched long, overlap double")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", (-F.col("start")).alias("back"), "matched")).alias("x"))
+    return best.select("doc_id", "item_id", (-F.col("x.back")).alias("start"), "x.matched", "x.overlap")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

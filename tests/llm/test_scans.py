@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronofact.llm import queries
-from chronofact.llm.decontam import MASKS, find_leaks, without_leaks
+from chronofact.llm.decontam import LIGHT, MASKS, exact_masks, find_leaks, least_hits, without_leaks
 from chronofact.llm.licenses import DEFAULT_TEMPLATES, PASSAGES, Template, cover_needed, scan_licenses
 from chronofact.llm.secrets import Scanner, checksum62, hex_runs, redact_secrets, redacted, scan_secrets
 from chronofact.llm.url_filter import Rule, match_rules, site_rule, word_rule
@@ -135,6 +135,30 @@ def test_leaks_with_words_exchanged_anywhere(spark, odd):
     assert got == want
 
 
+def test_every_item_of_seven_tenths_has_a_hit():
+    """Over all ways to exchange words, not a sample of them."""
+    for n in (*range(1, 26), 30, 38):
+        assert least_hits(n, 0.7, LIGHT if n > 4 else exact_masks(n)) >= 1, n
+    rng = random.Random(1)
+    for n in (5, 9, 14):
+        for _ in range(300):
+            stands = [rng.random() < 0.75 for _ in range(n)]
+            if sum(stands) >= 0.7 * n:
+                hits = sum(all(stands[at + j] for j, c in enumerate(m) if c == "1") for m in LIGHT for at in range(n - len(m) + 1))
+                assert hits >= least_hits(n, 0.7)
+
+
+def test_leaks_of_repeated_ids_and_long_texts(spark, odd):
+    item = [f"k{i}" for i in range(20)]
+    worse = " ".join([*item[:16], "a", "b", "c", "d"])
+    best = "x y " + " ".join(item)
+    long = " ".join(f"n{i}" for i in range(300_000)) + " " + " ".join(item) + " tail " * 50_000
+    d = odd(worse, best, best, "same " * 40_000, long).withColumn("doc_id", F.when(F.col("doc_id") < 3, 7).otherwise(F.col("doc_id")).cast("long"))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "same " * 8), (3, "k0 k1 k2 k3 k4 k5 z z"), (3, " ".join(item[:8]))], "item_id long, text string").withColumn("start", F.lit("x"))
+    got = sorted(map(tuple, find_leaks(d, bench).select("doc_id", "item_id", "start", "matched", "overlap").collect()))
+    assert got == [(3, 2, 0, 8, 1.0), (4, 1, 300_000, 20, 1.0), (4, 3, 300_000, 8, 1.0), (7, 1, 2, 20, 1.0), (7, 3, 0, 8, 1.0)]
+
+
 def test_leaks_query_finds_whole_items(spark, sf):
     docs = {r["doc_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
