@@ -1,17 +1,19 @@
 """Toxicity: boosted trees over dense features of whole texts, calibrated.
 
-Features are densities and counts of abusive words (a fixed list, and
-beginnings of words learnt from the training rows), how near such words stand to second-person
-words, capitals, punctuation, and obfuscated spellings.  The trees are fitted
-on the driver from at most ``max_rows`` labelled rows; isotonic regression on
-a part of those rows that the trees did not see turns margins into
-probabilities.  Scoring is one pass over the texts without a shuffle.
+Features are densities and counts of abusive words (a fixed list, and at most
+``LEARNT_HEADS`` beginnings of words learnt from labelled rows), how near such
+words stand to second-person words, capitals, punctuation, and obfuscated
+spellings.  At most ``max_rows`` labelled rows are cut into three parts that
+share no row.  Trees grow on the driver from the first two, each part with the
+beginnings of words learnt from the other, so that no row's own label is in its
+features.  The model has those learnt from both, and isotonic regression on the
+third part, which neither step has seen, turns its margins into probabilities.
+Scoring is one pass over the texts without a shuffle.
 """
 
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_ROWS, LEARNT_HEADS, THRESHOLD = 20_000, 2_000, 0.7
 HEADS = range(3, 9)
+FOLDS = 4, 4, 2  # of ten, those of each part
 # Abusive words, second-person words, look-alike characters.
 ABUSIVE = (
     "arsehole ass asshole bastard bitch brainless bullshit clown coward crap creep cretin cunt damn degenerate despicable "
@@ -127,29 +130,34 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "toxic") -> Model:
     """Learn from labelled rows that are not held out, at most ``max_rows`` of
-    them by the order of a hash of their ids.  Without rows of both labels the
-    model says the labels' share."""
+    them by the order of a hash of their ids; of several labels of one id the
+    greatest.  Without rows of both labels the model says the labels' share, and
+    a part that lacks one of them is made up from all rows."""
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y"))
-    ids = ids.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    ids = ids.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = saved(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    sample = saved(d.join(F.broadcast(ids), "doc_id"))  # the side has at most max_rows rows
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10))
-    learnt = learn_heads(sample.where(fold < 5), LEARNT_HEADS)
-    rows = sample.mapInArrow(featurise(learnt, ["doc_id", "y"]), "doc_id long, y int, x array<double>").toPandas()
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(sum(FOLDS)))
+    part = F.when(fold < FOLDS[0], 0).when(fold < FOLDS[0] + FOLDS[1], 1).otherwise(2)
+    sample = saved(d.join(F.broadcast(ids), "doc_id").withColumn("part", part))  # the side has at most max_rows rows
+    first, second, learnt = learn_heads(sample.where("part < 2"), LEARNT_HEADS)
+    rows = []
+    for own, words in enumerate((second, first, learnt)):
+        own = sample.where(F.col("part") == own)
+        rows.append(own.mapInArrow(featurise(words, ["doc_id", "y", "part"]), "doc_id long, y int, part int, x array<double>"))
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2]).toPandas()
     if not len(rows):
         return Model(learnt, BoostedTrees().fit(np.zeros((0, len(NAMES))), np.zeros(0)), Isotonic().fit(np.zeros(0), np.zeros(0)))
     rows = rows.sort_values("doc_id", kind="stable")
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
-    mixed = (pd.util.hash_array(rows["doc_id"].to_numpy()) >> np.uint64(7)) % np.uint64(4)
-    tune = mixed == 0 if 0 < (mixed == 0).sum() < len(y) and len(set(y[mixed == 0])) > 1 else np.ones(len(y), bool)
-    grow = ~tune if (~tune).any() else tune
+    x, y, part = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float), rows["part"].to_numpy()
+    both = lambda which: which if len(set(y[which])) > 1 else np.ones(len(y), bool)
+    grow, tune = both(part < 2), both(part == 2)
     trees = BoostedTrees().fit(x[grow], y[grow])
     return Model(learnt, trees, Isotonic().fit(trees.margin(x[tune]), y[tune]))
 
 
 def heads(batches):
-    """(y, head) for every distinct beginning of a word of each text."""
+    """(y, part, head) for every distinct beginning of a word of each text."""
     hasher = Hasher(letters_digits())
     for b in batches:
         for row, data, offs in slices(b.column("text")):
@@ -161,25 +169,36 @@ def heads(batches):
             text, head = text[order], head[order]
             new = np.ones(len(head), bool)
             new[1:] = (text[1:] != text[:-1]) | (head[1:] != head[:-1])
-            yield pa.RecordBatch.from_arrays([b.column("y").take(pa.array(row + text[new])), pa.array(head[new].view(np.int64))], names=["y", "head"])
+            of = pa.array(row + text[new])
+            yield pa.RecordBatch.from_arrays([b.column("y").take(of), b.column("part").take(of), pa.array(head[new].view(np.int64))], names=["y", "part", "head"])
 
 
-def learn_heads(sample: DataFrame, most: int, least: int = 6) -> list[int]:
+def learn_heads(sample: DataFrame, most: int, least: int = 6) -> tuple[list[int], list[int], list[int]]:
     """Hashes of beginnings of words that stand in toxic rows far more often
-    than chance allows, at most ``most``."""
-    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return []
-    counts = sample.select("y", "text").mapInArrow(heads, "y int, head long").groupBy("head").agg(F.sum("y").alias("a"), F.count("*").alias("c"))
-    share = n[1] / (n[0] + n[1])
-    z = (F.col("a") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-    rows = counts.where((F.col("c") >= least) & (F.col("a") * 4 > F.col("c") * 3)).withColumn("z", F.round(z, 6)).where("z > 5").orderBy(F.desc("z"), "head").limit(most)
-    return [r["head"] for r in rows.collect()]
+    than chance allows, at most ``most``: from the rows of part 0, of part 1,
+    and from both."""
+    n = {(r["part"], r["y"]): r["count"] for r in sample.groupBy("part", "y").count().collect()}
+    rows = sample.select("y", "part", "text").mapInArrow(heads, "y int, part int, head long")
+    sums = [F.sum(F.when(F.col("part") == p, x)).alias(f"{name}{p}") for p in (0, 1) for name, x in (("a", F.col("y")), ("c", F.lit(1)))]
+    counts = saved(rows.groupBy("head").agg(F.count("*").alias("c"), *sums).where(F.col("c") >= least).fillna(0))
+    out = []
+    for parts in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum(n.get((p, y), 0) for p in parts) for y in (1, 0))
+        if not toxic or not clean:
+            out.append([])
+            continue
+        share = toxic / (toxic + clean)
+        a, c = (sum((F.col(f"{x}{p}") for p in parts), F.lit(0)) for x in "ac")
+        z = F.round((a - c * share) / F.sqrt(c * share * (1 - share)), 6)
+        good = counts.where((c >= least) & (a * 4 > c * 3)).withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "head").limit(most)
+        out.append([r["head"] for r in good.collect()])
+    return tuple(out)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for each row; null and empty texts are scored
-    as texts without words."""
+    """(doc_id, score, predicted) for each row, repeated ones too; null and empty
+    texts are scored as texts without words.  Other columns are ignored,
+    whatever their names."""
 
     def run(batches):
         rows = featurise(model.learnt, ["doc_id"])
