@@ -55,6 +55,39 @@ def test_token_table_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_are_used_as_they_are(tmp_path):
+    import json
+
+    text = "Two  Words, and_more THINGS.\n\nx"
+    other = queries.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    cased = json.load(open(PATH))
+    cased["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    for path in (other, str(tmp_path / "cased.json")):
+        t = Tokens(path)
+        assert not t.by_words
+        assert np.frombuffer(t.texts([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert Tokens(PATH).by_words and Tokens(PATH).words is Tokens(PATH).words
+
+
+def test_the_search_goes_on_until_nothing_changes():
+    rng = random.Random(6)
+    lengths = sorted((rng.randint(600, 760) for _ in range(1500)), reverse=True)
+    start = best_fit(lengths, 2048)
+    short, end = (improve([list(b) for b in start], lengths, 2048, work=w) for w in (10_000_000, 1 << 31))
+    assert len(start) > len(short) > len(end)
+    assert sorted(i for b in end for i in b) == list(range(1500)) and max(sum(lengths[i] for i in b) for b in end) <= 2048
+    again = improve([list(b) for b in end], lengths, 2048)
+    assert len(again) == len(end)
+
+
+def test_rows_alike_do_not_meet_in_one_shard(spark, odd):
+    nobody = odd(*["a b c"] * 900).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = pack(pieces(nobody, PATH), shard_rows=100).collect()
+    shards = {r["sequence_id"] >> 40 for r in rows}
+    assert len(rows) == 900 and len(shards) == 9
+
+
 def test_local_search_empties_sequences():
     lengths = [6, 5, 5, 4, 4, 3, 3]  # best fit needs 4 of 10, three are enough
     assert len(improve([[0, 3], [1, 2], [4, 5, 6]], lengths, 10)) == 3
