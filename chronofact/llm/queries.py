@@ -7,6 +7,8 @@ operator's own output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .url_filter import DEFAULT_RULES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,6 +104,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_substring_dedup, op3_quality, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_top_k, op8_secret_scan, op9_decontamination, op10_url_filter)}
+OTHER_RULES = ", ".join(f"({i}, '{r.name}', '{r.action}', '{r.pattern}')" for i, r in enumerate(DEFAULT_RULES) if not r.site)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Queries that SQL can express, as DuckDB runs them.  The others train a model
@@ -131,6 +134,7 @@ ORACLE_SQL: dict[str, str] = {
  p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
  r(action, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
  m AS (SELECT page_id, arg_max(h || q, len(h || q)) AS rule, arg_max(action, len(h || q)) AS action FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
- w AS (SELECT page_id, list_filter(['doubleclick', 'adserver', 'tracker', 'banner', 'casino', 'poker', 'porn', 'spam', 'ads', 'xxx'], lambda x: list_contains(string_split_regex(host || path, '[^A-Za-z0-9]+'), x))[1] AS word FROM p)
- SELECT p.page_id, host, path, m.rule, coalesce(m.action, CASE WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(m.rule, word) AS matched_by FROM p JOIN w USING (page_id) LEFT JOIN m USING (page_id)""",
+ o(at, name, action, pattern) AS (VALUES {OTHER_RULES}),
+ w AS (SELECT page_id, arg_max(name, len(name) * 1000 - at) AS word, arg_max(o.action, len(name) * 1000 - at) AS action FROM p JOIN o ON regexp_matches(host || path, pattern) GROUP BY page_id)
+ SELECT p.page_id, host, path, m.rule, coalesce(m.action, w.action, 'allow') AS verdict, coalesce(m.rule, word) AS matched_by FROM p LEFT JOIN w USING (page_id) LEFT JOIN m USING (page_id)""",
 }

@@ -3,7 +3,7 @@
 A window is a run of consecutive words of one text.  Short windows that stand
 in more than one text are found first; only where they stand is the text looked
 at again with windows of twice the length, and so on up to the length asked
-for, or until no candidates survive.
+for, or until no candidates survive, which ends the search.
 
 The shortest level is thinned without loss: of the short windows inside each
 window of the next level only the one with the least hash is an anchor, so two
@@ -153,7 +153,10 @@ def repeated_places(d: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     table = spark.sparkContext.broadcast(_bits.bit_table(found))
     spots = d.mapInArrow(first_level(*lengths[:2], table), "h long, doc_id long, pos int").join(found, "h", "left_semi")
     places = None
+    none = spark.createDataFrame([], "doc_id long, places array<int>")
     for short, length in itertools.pairwise(lengths):
+        if found.isEmpty():
+            return none  # no candidates survive
         places = saved(spots.groupBy("doc_id").agg(F.collect_list("pos").alias("places")).join(copies, "doc_id", "left_anti"))
         level = saved(d.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(next_level(short, length, short == lengths[0]), "h long, g int, doc_id long, pos int"))
         found = level.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))

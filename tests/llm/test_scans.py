@@ -10,7 +10,7 @@ from chronofact.llm import queries
 from chronofact.llm.decontam import LIGHT, MASKS, exact_masks, find_leaks, least_hits, without_leaks
 from chronofact.llm.licenses import DEFAULT_TEMPLATES, PASSAGES, Template, cover_needed, scan_licenses
 from chronofact.llm.secrets import Scanner, checksum62, hex_runs, redact_secrets, redacted, scan_secrets
-from chronofact.llm.url_filter import Rule, match_rules, site_rule, word_rule
+from chronofact.llm.url_filter import DEFAULT_RULES, PATTERN_RULES, Rule, match_rules, pattern_rule, site_rule, word_rule
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -209,3 +209,31 @@ def test_url_edges(spark):
     assert site_rule("block", "a.b", "/c/d").tokens == ("a", "b", "c") and word_rule("block", "x").tokens == ("x",)
     plan = match_rules(d)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_tokens_of_patterns():
+    assert pattern_rule("block", r"/wp-login\.php$").tokens == ("wp", "login", "php")
+    assert pattern_rule("block", r"/tag/[^/]+/page/[0-9]+(?:[/.]|$)").tokens == ("tag", "page")
+    assert pattern_rule("block", r"/sitemap[0-9]*\.xml$").tokens == ("xml",) and pattern_rule("block", r"/feed/?$").tokens == ("feed",)
+    assert all(r.tokens for r in PATTERN_RULES)
+
+
+def test_many_rules_by_index_and_by_join(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(6000)]
+    rules = [*DEFAULT_RULES, *(word_rule(rng.choice(("allow", "block")), w) for w in words), *(site_rule("block", f"h{i}.net", f"/{rng.choice(words)}") for i in range(3000)), Rule("block", "digits", "[0-9]{9}", ())]
+    urls = [None, "x", "http://a.com/123456789", "http://org/login", "http://a.b/login", "http://a.b/x.exe", "http://a.b/tag/q/page/7"]
+    urls += [f"http://{rng.choice(('', 'www.'))}h{rng.randint(0, 3500)}.net/{'/'.join(rng.choices(words, k=rng.randint(0, 3)))}" for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+    want = {}
+    for i, u in enumerate(urls):
+        host, path, *_ = url_brute(u)
+        fits = [(r.site, len(r.name), -at, r) for at, (r, p) in enumerate(compiled) if p.search(host + path)]
+        best = max(fits, default=(None, 0, 0, None), key=lambda x: x[:3])[3]
+        want[i] = (best.name if best and best.site else None, best.action if best else "allow", best.name if best else None)
+    for limit in (1 << 24, 0):
+        got = match_rules(d, rules, index_bytes=limit)
+        assert {r["page_id"]: (r["rule"], r["verdict"], r["matched_by"]) for r in got.collect()} == want
+        assert match_rules(d.where("false"), rules[:9], index_bytes=limit).count() == 0
+    assert match_rules(d, rules[:3], index_bytes=0).columns == match_rules(d, rules[:3]).columns
\ No newline at end of file
