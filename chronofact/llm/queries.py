@@ -134,7 +134,7 @@ ORACLE_SQL: dict[str, str] = {
  p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
  r(action, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
  m AS (SELECT page_id, arg_max(h || q, len(h || q)) AS rule, arg_max(action, len(h || q)) AS action FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
- o(at, name, action, pattern) AS (VALUES {OTHER_RULES}),
- w AS (SELECT page_id, arg_max(name, len(name) * 1000 - at) AS word, arg_max(o.action, len(name) * 1000 - at) AS action FROM p JOIN o ON regexp_matches(host || path, pattern) GROUP BY page_id)
+ o(nth, name, action, pattern) AS (VALUES {OTHER_RULES}),
+ w AS (SELECT page_id, arg_max(name, len(name) * 1000 - nth) AS word, arg_max(o.action, len(name) * 1000 - nth) AS action FROM p JOIN o ON regexp_matches(host || path, pattern) GROUP BY page_id)
  SELECT p.page_id, host, path, m.rule, coalesce(m.action, w.action, 'allow') AS verdict, coalesce(m.rule, word) AS matched_by FROM p LEFT JOIN w USING (page_id) LEFT JOIN m USING (page_id)""",
 }
