@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chronofact.llm import queries
@@ -64,6 +65,36 @@ def test_chains_of_edits_of_one_class(spark, odd):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates(odd(*texts)).collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_pages_of_one_template(spark, odd, few):
+    """Texts of many classes in the same bands, some of them linked across."""
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for n in range(120):
+        own = [f"p{n}w{i}" for i in range(rng.choice((18, 20, 22, 24)))]
+        texts.append(" ".join(template + own))
+        if n % 4 == 0:
+            texts.append(" ".join(template + own[:-2] + ["z"]))
+        if n % 6 == 0:
+            texts.append(" ".join(template[:150] + own + [f"q{n}r{i}" for i in range(40)]))
+    for n in range(60):
+        texts.append(" ".join(w if rng.random() > 0.04 else f"m{rng.randint(0, 9)}" for w in template))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(odd(*texts), few=few).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("times", [1, 20, 1000])
+def test_no_link_is_lost_where_lines_repeat(spark, odd, times):
+    rng, texts = random.Random(times), []
+    for n in range(60):
+        w = [f"r{n}w{i}" for i in range(100)]
+        other = list(w)
+        other[rng.randrange(10, 90)] = "x"
+        texts += [" ".join(w + [f"l{n}k{i}" for i in range(8)] * times), " ".join(other + [f"l{n}k{i}" for i in range(8)])]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(odd(*texts)).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
 def test_repeated_lines_do_not_part_near_copies():
     texts = []
     for n in range(100):
