@@ -13,6 +13,7 @@ runs stand alone.  A token is cut to 64 bytes at a character's end.  The words
 of Thai, Khmer and their like are not told apart: that needs a dictionary.
 """
 
+import re
 import unicodedata
 
 import regex
@@ -25,7 +26,8 @@ _IGNORED = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 _MARKED = regex.compile(r"([a-z0-9])\p{M}+")
 _CJK = r"[\p{Ideographic}\p{Script=Hiragana}--\p{M}]"
 _KANA = r"[\p{Script=Katakana}ーｰ]"
-_LETTER, _DIGIT = r"[\p{L}\p{Alphabetic}--\p{N}--\p{M}]", r"\p{Nd}"
+# What a full stop or an apostrophe joins: letters of scripts that write words apart.
+_LETTER, _DIGIT = rf"[\p{{L}}\p{{Alphabetic}}--\p{{N}}--\p{{M}}--{_CJK}--{_KANA}]", r"\p{Nd}"
 _RUN = regex.compile(
     rf"(?V1)(?P<cjk>{_CJK}+)|(?P<kana>{_KANA}+)"
     rf"|(?:[[\p{{L}}\p{{N}}\p{{M}}_]--{_CJK}--{_KANA}]"
@@ -59,8 +61,28 @@ def _cut(token: str) -> str:
     return token if len(b) <= MAX_TOKEN_BYTES else _EDGES.sub("", b[:MAX_TOKEN_BYTES].decode(errors="ignore"))
 
 
+# Latin letters with marks and the letters under them, by the rule above.
+_WITH = "".join(chr(c) for c in range(0xC0, 0x180) if _base(chr(c).lower()) != chr(c).lower() and len(_base(chr(c).lower())) == 1 and len(chr(c).lower()) == 1)
+_UNDER = "".join(_base(c.lower()) for c in _WITH)
+# Texts of these characters alone need no rounds of folding: letters that are one
+# character in every form, ASCII, and the quotes and dashes of Latin prose.
+_LATIN = re.compile(r"[\t\n\r\x20-\x7eßæøœ" + _WITH + r"ÆØŒ«»¿¡–—‘’“”]*")
+_LATIN_FOLD = str.maketrans(_WITH, _UNDER)
+_LATIN_RUN = re.compile(r"(?:[^\W]+(?:(?<=[^\W\d_])['’.](?=[^\W\d_])|(?<=\d)[.,](?=\d))?)+")
+
+
+def _latin(text: str) -> list[str]:
+    """``tokens`` of a text that ``_LATIN`` fits."""
+    found = _LATIN_RUN.findall((text if text.isascii() else text.translate(_LATIN_FOLD)).lower())
+    if "_" in text:
+        found = [t for w in found if (t := w.strip("_"))]
+    return [t if len(t) <= MAX_TOKEN_BYTES // 2 else t if len(t.encode()) <= MAX_TOKEN_BYTES else _cut(t) for t in found]
+
+
 def tokens(text: str | None, search: bool = True) -> list[str]:
     """The tokens of a text, in order, with repeats; null gives none."""
+    if text and (search or text.isascii()) and _LATIN.fullmatch(text):
+        return _latin(text)
     out = []
     for m in _RUN.finditer(_folded(text or "", search)):
         t = m[0]
@@ -89,14 +111,13 @@ def tokens_udf(search: bool = True):
     return run
 
 
-# Latin letters with marks and the letters under them, by the rule above.
-_WITH = "".join(chr(c) for c in range(0xC0, 0x180) if _base(chr(c).lower()) != chr(c).lower() and len(_base(chr(c).lower())) == 1 and len(chr(c).lower()) == 1)
-_UNDER = "".join(_base(c.lower()) for c in _WITH)
-
-
 def latin_tokens(text: Column) -> Column:
     """``tokens`` for composed Latin text, as built-in functions: array<string>."""
     low = F.translate(F.lower(F.translate(text, _WITH, _UNDER)), "­", "")
-    found = F.regexp_extract_all(low, F.lit(r"((?:[\p{L}\p{N}_]|(?<=\p{L})['’.](?=\p{L})|(?<=\p{Nd})[.,](?=\p{Nd}))+)"), 1)
-    found = F.transform(found, lambda t: F.btrim(t, F.lit("_")))
-    return F.coalesce(F.transform(F.filter(found, lambda t: t != ""), lambda t: F.when(F.octet_length(t) > MAX_TOKEN_BYTES, F.substring(t, 1, MAX_TOKEN_BYTES)).otherwise(t)), F.array().cast("array<string>"))
+    found = F.regexp_extract_all(low, F.lit(r"((?:[\p{L}\p{N}_]++(?:(?<=\p{L})['’.](?=\p{L})|(?<=\p{Nd})[.,](?=\p{Nd}))?+)++)"), 1)
+    bare = F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("_"))), lambda t: t != "")
+    found = F.when(F.contains(low, F.lit("_")), bare).otherwise(found)
+    cut = F.transform(found, lambda t: F.when(F.octet_length(t) > MAX_TOKEN_BYTES, F.substring(t, 1, MAX_TOKEN_BYTES)).otherwise(t))
+    # Most texts have no long run: they are not looked at word by word.
+    found = F.when(F.rlike(low, F.lit(rf"[\p{{L}}\p{{N}}_.,'’]{{{MAX_TOKEN_BYTES // 2},}}+")), cut).otherwise(found)
+    return F.coalesce(found, F.array().cast("array<string>"))
