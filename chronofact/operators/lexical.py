@@ -1,13 +1,20 @@
 """BM25 over tokenised facts, for one query or a table of queries."""
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokenizer import tokens_udf
-from ..schema import SOURCE_CAP, STOP_DF_DIVISOR, STOP_DF_FLOOR
+from ..functions.tokenizer import tokens, tokens_udf
+from ..schema import BUCKETS, SOURCE_CAP, STOP_DF_DIVISOR, STOP_DF_FLOOR
+
+
+#: Rows of a table of query terms, up to which it is broadcast.
+SMALL_QUERY = 200_000
 
 
 def tokenised(facts: DataFrame, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -22,6 +29,73 @@ def postings(tokenised_facts: DataFrame) -> DataFrame:
     return rows.groupBy("term", "fact_id").agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("tf"))
 
 
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def counted(batches):
+    """Each text's terms with their counts, one pass and no shuffle."""
+    for b in batches:
+        ids, n, terms, counts = b.column(0), [], [], []
+        for t in b.column(1).to_pylist():
+            found = tokens(t)
+            own = Counter(found)
+            n.append(len(found))
+            terms.append(list(own))
+            counts.append([min(c, 255) for c in own.values()])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["fact_id", "n", "terms", "tf"])
+
+
+def indexed(facts: DataFrame) -> DataFrame:
+    """(fact_id, n, terms, tf): what a store keeps of each fact's text."""
+    return facts.select("fact_id", "text").mapInArrow(counted, "fact_id long, n long, terms array<string>, tf array<int>")
+
+
+def stored_postings(index: DataFrame) -> DataFrame:
+    """(term, fact_id, tf, len, bucket) of ``indexed`` facts."""
+    rows = index.select("fact_id", F.least("n", F.lit(65535)).cast("int").alias("len"), F.explode(F.arrays_zip("terms", "tf")).alias("x"))
+    return rows.select(F.col("x.terms").alias("term"), "fact_id", F.col("x.tf").alias("tf"), "len", bucket(F.col("x.terms")).alias("bucket"))
+
+
+def bm25_stored(postings: DataFrame, lengths: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``bm25_one`` over a store's postings: only the folders of the query's
+    terms are read.  ``lengths`` is (fact_id, n) of every stored fact."""
+    wanted = list(dict.fromkeys(terms))
+    rows = postings.where(F.col("bucket").isin(*[bucket_of(t) for t in wanted]) & F.col("term").isin(*wanted))
+    row = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    found = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()}  # a row a term
+    n, df = row["docs"], {t: found.get(t, 0) for t in wanted}
+    kept = without_stops(terms, df, n)
+    if not kept:
+        return postings.sparkSession.createDataFrame([], "query_id long, fact_id long, score double")
+    own = list(dict.fromkeys(kept))
+    tf = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(own)]
+    rows = rows.where(F.col("term").isin(*own)).groupBy("fact_id").agg(F.max("len").alias("len"), *tf)
+    score = F.lit(0.0)
+    for t in kept:
+        x = F.coalesce(F.col(f"tf{own.index(t)}"), F.lit(0))
+        score = score + weighted(x, F.col("len"), n, df[t], row["total"], k1, b)
+    return rows.select(F.lit(0).cast("long").alias("query_id"), "fact_id", F.round(score, 10).alias("score"))
+
+
+def bucket_of(term: str) -> int:
+    n = xxhash.xxh64_intdigest(term.encode(), seed=42)  # as F.xxhash64 does
+    return (n - (1 << 64) if n >> 63 else n) % BUCKETS
+
+
+def without_stops(terms: list[str], df: dict[str, int], n: int) -> list[str]:
+    """The terms that count, in order: those of most facts are left out, unless
+    there are no others, when the rarest stays."""
+    stop = {t for t in terms if df[t] > STOP_DF_FLOOR and df[t] * STOP_DF_DIVISOR > n}
+    kept = [t for t in terms if t not in stop] or [min(terms, key=df.get)]
+    return [t for t in kept if df[t]]
+
+
+def weighted(tf: Column, length: Column, n: int, df: int, total: int, k1: float, b: float) -> Column:
+    weight = math.log(1 + (n - df + 0.5) / (df + 0.5))
+    return F.lit(weight) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / (total / n)))
+
+
 def doc_stats(tokenised_facts: DataFrame) -> DataFrame:
     """(fact_id, len, distinct): both at most 65535, no shuffle."""
     return tokenised_facts.select("fact_id", F.least(F.size("tokens"), F.lit(65535)).alias("len"), F.least(F.size(F.array_distinct("tokens")), F.lit(65535)).alias("distinct"))
@@ -55,21 +129,34 @@ def bm25(tokenised_facts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float
     and filter the result.  A score is summed in the order of the terms, so it
     does not depend on how rows were dealt out.
     """
-    # Term frequencies are counted inside the row: what leaves the scan is a
-    # row for each term that a query asks for.
     wanted = terms.select("term").distinct()
     lengths = tokenised_facts.select("fact_id", F.size("tokens").alias("n"), F.least(F.size("tokens"), F.lit(65535)).alias("len"), "tokens")
-    corpus = lengths.agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    # What leaves the scan is a row for each fact and term that a query asks for.
     rows = lengths.select("fact_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     tf = rows.groupBy("term", "fact_id", "len").agg(F.least(F.count("*"), F.lit(255)).alias("tf"))
+    return _scored(tf, lengths, terms, k1, b, stop_terms)
+
+
+def bm25_of_postings(postings: DataFrame, lengths: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, stop_terms: bool = True) -> DataFrame:
+    """``bm25`` over a store's postings and lengths (fact_id, n); no text and no
+    list of tokens is read."""
+    tf = postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "fact_id", "len", "tf")
+    return _scored(tf, lengths, terms, k1, b, stop_terms)
+
+
+def _scored(tf: DataFrame, lengths: DataFrame, terms: DataFrame, k1: float, b: float, stop_terms: bool) -> DataFrame:
+    corpus = lengths.agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    wanted = terms.select("term").distinct()
     df = wanted.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
     query = terms.crossJoin(F.broadcast(corpus))  # one row
     query = query.join(df, "term")
     if stop_terms:
         kept = kept_terms(terms.crossJoin(F.broadcast(corpus.select("docs"))), df, F.col("docs"))
         query = query.join(kept.select("query_id", "pos"), ["query_id", "pos"], "left_semi")
+    if terms.limit(SMALL_QUERY + 1).count() <= SMALL_QUERY:
+        query = F.broadcast(query)  # a frequent term's postings stay where they are
     part = idf(F.col("docs"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("total") / F.col("docs"))))
-    parts = query.join(tf, "term").select("query_id", "fact_id", "pos", part.alias("part"))
+    parts = tf.join(query, "term").select("query_id", "fact_id", "pos", part.alias("part"))
     summed = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "part"))), F.lit(0.0), lambda a, x: a + x["part"])
     return parts.groupBy("query_id", "fact_id").agg(F.round(summed, 10).alias("score"))
 
@@ -84,9 +171,7 @@ def bm25_one(tokenised_facts: DataFrame, terms: list[str], k1: float = 1.2, b: f
     has = [F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(wanted)]
     row = tokenised_facts.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"), *has).first()
     n, df = row["docs"], {t: row[f"df{i}"] for i, t in enumerate(wanted)}
-    stop = {t for t in wanted if df[t] > STOP_DF_FLOOR and df[t] * STOP_DF_DIVISOR > n}
-    kept = [t for t in terms if t not in stop] or [min(terms, key=df.get)][:1]
-    kept = [t for t in kept if df[t]]
+    kept = without_stops(terms, df, n)
     hits = F.filter("tokens", lambda x: x.isin(*kept)) if kept else F.array().cast("array<string>")
     rows = tokenised_facts.select("fact_id", F.least(F.size("tokens"), F.lit(65535)).alias("len"), hits.alias("hits")).where(F.size("hits") > 0)
     score = F.lit(0.0)
@@ -95,9 +180,7 @@ def bm25_one(tokenised_facts: DataFrame, terms: list[str], k1: float = 1.2, b: f
         return F.least(F.size(F.filter("hits", lambda x: x == term)), F.lit(255))
 
     for t in kept:
-        tf = count(t)
-        weight = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-        score = score + F.lit(weight) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("len") / (row["total"] / n)))
+        score = score + weighted(count(t), F.col("len"), n, df[t], row["total"], k1, b)
     return rows.select(F.lit(0).cast("long").alias("query_id"), "fact_id", F.round(score, 10).alias("score"))
 
 

@@ -3,11 +3,12 @@
 import base64
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Invalid, StaleCursor, TooLarge
 from ..schema import OPEN, TAG_PAGE, TAG_PAGE_MAX
+from .number import numbered
 from .predicates import current
 
 
@@ -63,14 +64,10 @@ def list_tags(tags: DataFrame, prefix: str = "", cursor: str | None = None, limi
 
 
 def remove_tag(facts: DataFrame, tag: str, now: int, next_fact: int) -> DataFrame:
-    """(old_id, fact) rows: every current fact with ``tag`` closed at ``now`` and
-    made anew without it, new ids in the order of the old ones.
-
-    The numbering is a window over the facts that carry one tag, of ids alone.
-    """
+    """Every current fact with ``tag`` closed at ``now`` and made anew without it,
+    new ids in the order of the old ones, numbered range by range."""
     hit = facts.where(current() & F.array_contains("tags", tag))
-    ids = hit.select("fact_id").withColumn("new_id", F.row_number().over(Window.orderBy("fact_id")) - 1 + F.lit(next_fact))
-    new = hit.join(ids, "fact_id")
+    new = numbered(hit, ["fact_id"], "new_id", next_fact)
     made = new.select(*[
         F.col("new_id").alias("fact_id") if c == "fact_id"
         else F.col("fact_id").alias("revises") if c == "revises"

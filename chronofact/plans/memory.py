@@ -2,32 +2,44 @@
 
 What is stored stays in DataFrames.  What was written since the last
 generation is a small delta on the driver, replayed from the log when the store
-is opened; frames are the stored tables with the delta over them.  Verbs look
-up single rows; whatever touches an unbounded set (bulk loads, tag removal,
-maintenance) is a rewrite of tables into the next generation.
+is opened; frames are the stored tables with the delta over them.  A checkpoint
+adds the delta's rows, and the changes it makes to older ones, as folders of
+their own; maintenance merges them.  Verbs look up single rows, batches of verbs
+all their rows at once; whatever touches an unbounded set (bulk loads, tag
+removal, maintenance) is one set-based step to the next generation.
+
+Operations are numbered.  A generation knows the last one it holds, and the last
+one of a stream, so neither is applied twice after a crash.
 """
 
 import time
 import uuid
+from collections import Counter
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyClosed, Corrupt, Invalid, NotFound, ReembedBusy, StorageError, TooLarge, UntrackedVectorSpace, VectorSpaceMismatch
-from ..functions.tokenizer import normalized_name, tokens
+from ..functions.tokenizer import normalized_name, tokens, tokens_udf
 from ..functions.vectors import check_vector, quantize
 from ..operators import lexical
 from ..operators import tags as tag_ops
 from ..operators.predicates import current
-from ..schema import EDGES, ENTITIES, FACTS, MAX_LINKS, MAX_TAGS, OPEN, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, TOKENS, Config
+from ..schema import EDGE_CHANGES, EDGES, ENTITIES, FACT_CHANGES, FACTS, LENGTHS, MAX_LINKS, MAX_TAGS, OPEN, POSTINGS, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, Config
 from ..sources import jsonl
 from ..sources.store import Store
 from . import maintain as upkeep
 from . import recall as recalls
 from . import write
 
-AUTO_OPS, AUTO_BYTES = 1024, 4 << 20
+AUTO_BYTES = 4 << 20
+SCHEMAS = {"facts": FACTS, "entities": ENTITIES, "edges": EDGES}
+KEYS = {"facts": "fact_id", "entities": "entity_id", "edges": "edge_id"}
+#: Folders of changes, from which on a checkpoint merges them into their tables.
+MERGE_FROM = 16
+#: Postings of so many new facts go to one file of a folder.
+FACTS_A_FILE = 2_000_000
 
 
 def now_ms() -> int:
@@ -48,7 +60,8 @@ def similarity(a: dict | None, b: dict | None) -> float:
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), embedder=None, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), embedder=None, read_only: bool = False, checkpoint_ops: int = 1024):
+        self.checkpoint_ops, self.mark = checkpoint_ops, None
         self.spark, self.store, self.embedder = spark, Store(spark, path, read_only), embedder
         try:
             stored = self.store.config()
@@ -58,8 +71,12 @@ class Memory:
             self.replayed, self.truncated_tail = 0, False
             if not read_only:
                 ops, self.truncated_tail = self.store.ops()
+                held = self.seq
                 for op in ops:
-                    self.replayed += self._apply(op)
+                    if op.get("seq", held + 1) > held:
+                        self.replayed += self._apply(op)
+                if ops and not self.pending:
+                    self.store.clear_log()
         except Exception:
             self.store.close()
             raise
@@ -69,28 +86,48 @@ class Memory:
         m = self.store.manifest
         self.next_fact, self.next_entity, self.next_edge = (m.get(k, 0) for k in ("next_fact", "next_entity", "next_edge"))
         self.vector_space, self.rels = m.get("vector_space"), dict(m.get("rels", {}))
-        self.base = {t: self.store.table(t) for t in ("facts", "entities", "edges")}
-        self.indexed = self.store.table("tokens")
+        self.seq, self.stream_seq = m.get("seq", 0), m.get("stream_seq", -1)
+        self.held = {"entities": self.next_entity, "edges": self.next_edge}
+        self.base = {t: self._stored(t) for t in SCHEMAS}
         self.new = {"facts": {}, "entities": {}, "edges": {}}
         self.changed = {"facts": {}, "edges": {}}
-        self.names: dict[str, int] = {}
+        self.names: dict[str, int | None] = {}
+        self.open_edges: dict[tuple, dict | None] = {}
         self.pending = 0
 
     # Frames -----------------------------------------------------------------
 
+    def _stored(self, name: str) -> DataFrame:
+        """A table of the generation with the changes of later folders in it."""
+        df, changes = self.store.table(name), f"{name[:-1]}_changes"
+        if self.store.folders.get(changes):
+            # A row is closed once and forgotten once.
+            last = self.store.table(changes).groupBy(KEYS[name]).agg(F.max("valid_to").alias("valid_to"), *([F.max("tombstone").alias("tombstone")] if name == "facts" else []))
+            df = self._over(df, last, name)
+        return df
+
+    @staticmethod
+    def _over(df: DataFrame, changes: DataFrame, name: str) -> DataFrame:
+        over = changes.select(KEYS[name], *[F.col(c).alias(f"__{c}") for c in ("valid_to", "tombstone") if c in changes.columns])
+        out = df.join(over, KEYS[name], "left").withColumn("valid_to", F.coalesce("__valid_to", "valid_to"))
+        if name == "facts":
+            out = out.withColumn("tombstone", F.coalesce("__tombstone", "tombstone"))
+        return out.select(*df.columns)
+
+    def _changes(self, name: str) -> DataFrame:
+        rows = [(k, c.get("valid_to"), c.get("tombstone"))[: 3 if name == "facts" else 2] for k, c in self.changed[name].items()]
+        return self.spark.createDataFrame(rows, FACT_CHANGES if name == "facts" else EDGE_CHANGES)
+
+    def _added(self, name: str) -> DataFrame:
+        schema = SCHEMAS[name]
+        columns = self.base[name].columns
+        return self.spark.createDataFrame([{c: r.get(c) for c in columns} for r in self.new[name].values()], schema)
+
     def _table(self, name: str) -> DataFrame:
-        schema = {"facts": FACTS, "entities": ENTITIES, "edges": EDGES}[name]
-        key = {"facts": "fact_id", "entities": "entity_id", "edges": "edge_id"}[name]
         df = self.base[name]
-        if changes := self.changed.get(name):
-            over = self.spark.createDataFrame([(k, c.get("valid_to"), c.get("tombstone")) for k, c in changes.items()], f"{key} long, __to long, __gone boolean")
-            df = df.join(F.broadcast(over), key, "left").withColumn("valid_to", F.coalesce("__to", "valid_to"))  # at most the operations of one log
-            if name == "facts":
-                df = df.withColumn("tombstone", F.coalesce("__gone", "tombstone"))
-            df = df.select(*self.base[name].columns)
-        if rows := self.new[name]:
-            df = df.unionByName(self.spark.createDataFrame([{c: r.get(c) for c in df.columns} for r in rows.values()], schema))
-        return df
+        if self.changed.get(name):
+            df = self._over(df, F.broadcast(self._changes(name)), name)  # at most the operations of one log
+        return df.unionByName(self._added(name)) if self.new[name] else df
 
     @property
     def facts(self) -> DataFrame:
@@ -107,40 +144,71 @@ class Memory:
         return self._table("edges")
 
     @property
-    def tokenised(self) -> DataFrame:
-        """Tokens of every stored fact, the forgotten too until they are purged:
-        those of the generation as written with it, those of the delta now."""
-        if not self.new["facts"]:
-            return self.indexed
-        new = [(i, tokens(f["text"])) for i, f in self.new["facts"].items()]
-        return self.indexed.unionByName(self.spark.createDataFrame(new, TOKENS))
+    def postings(self) -> DataFrame:
+        """(term, fact_id, tf, len, bucket) of every stored fact, the forgotten
+        too until they are purged: those of the generation as written, those of
+        the delta counted now."""
+        stored = self.store.table("postings")
+        rows = []
+        for i, f in self.new["facts"].items():
+            found = tokens(f["text"])
+            rows += [(t, i, min(n, 255), min(len(found), 65535), lexical.bucket_of(t)) for t, n in Counter(found).items()]
+        return stored.unionByName(self.spark.createDataFrame(rows, POSTINGS)) if rows else stored
+
+    @property
+    def lengths(self) -> DataFrame:
+        stored = self.store.table("lengths")
+        new = [(i, len(tokens(f["text"]))) for i, f in self.new["facts"].items()]
+        return stored.unionByName(self.spark.createDataFrame(new, LENGTHS)) if new else stored
 
     # Single rows ------------------------------------------------------------
 
+    def _found(self, ids) -> dict[int, dict]:
+        """Facts of ``ids`` by id, those of the generation by one look-up."""
+        out = {i: self.new["facts"][i] for i in ids if i in self.new["facts"]}
+        rest = sorted({i for i in ids if i not in out and 0 <= i < self.next_fact})
+        if len(rest) == 1:
+            rows = self.base["facts"].where(F.col("fact_id") == rest[0]).collect()
+        else:
+            rows = self.base["facts"].join(F.broadcast(self.spark.createDataFrame([(i,) for i in rest], "fact_id long")), "fact_id", "left_semi").collect() if rest else []
+        return out | {r["fact_id"]: r.asDict(recursive=True) | self.changed["facts"].get(r["fact_id"], {}) for r in rows}
+
     def _fact(self, fact_id: int) -> dict:
-        f = self.new["facts"].get(fact_id)
+        f = self._found([fact_id]).get(fact_id)
         if f is None:
-            row = self.base["facts"].where(F.col("fact_id") == fact_id).first() if 0 <= fact_id < self.next_fact else None
-            if row is None:
-                raise NotFound(f"fact {fact_id}")
-            f = row.asDict(recursive=True) | self.changed["facts"].get(fact_id, {})
+            raise NotFound(f"fact {fact_id}")
         return f
 
+    def _know(self, names) -> None:
+        """Look up all of ``names`` that are not known yet at once."""
+        norms = sorted({n for name in names if name is not None and (n := normalized_name(name)) and n not in self.names})
+        if norms and self.held["entities"]:
+            if len(norms) == 1:
+                hits = self.base["entities"].where(F.col("norm_name") == norms[0])
+            else:
+                hits = self.base["entities"].join(F.broadcast(self.spark.createDataFrame([(n,) for n in norms], "norm_name string")), "norm_name", "left_semi")
+            self.names |= dict.fromkeys(norms) | {r["norm_name"]: r["entity_id"] for r in hits.select("norm_name", "entity_id").collect()}
+
     def _entity(self, name: str) -> int | None:
         norm = normalized_name(name)
-        if norm not in self.names:
-            row = self.base["entities"].where(F.col("norm_name") == norm).first() if norm else None
-            if row is None:
-                return None
-            self.names[norm] = row["entity_id"]
-        return self.names[norm]
+        if norm and norm not in self.names:
+            self._know([name])
+        return self.names.get(norm)
+
+    def _know_edges(self, keys) -> None:
+        """Look up the open edges of ``keys`` (src, rel, dst) at once."""
+        wanted = sorted({k for k in keys if k not in self.open_edges and None not in k and max(k[0], k[2]) < self.held["entities"]})
+        self.open_edges |= {k: None for k in keys if k not in self.open_edges}
+        if wanted and self.held["edges"]:
+            live = self.base["edges"].where(F.col("valid_to") == OPEN)
+            rows = live.join(F.broadcast(self.spark.createDataFrame(wanted, "src long, rel string, dst long")), ["src", "rel", "dst"], "left_semi").collect()
+            self.open_edges |= {(r["src"], r["rel"], r["dst"]): r.asDict() for r in rows if r["edge_id"] not in self.changed["edges"]}
 
     def _open_edge(self, src, rel, dst) -> dict | None:
-        for e in self.new["edges"].values():
-            if (e["src"], e["rel"], e["dst"]) == (src, rel, dst) and e["valid_to"] == OPEN:
-                return e
-        rows = self.base["edges"].where((F.col("src") == src) & (F.col("rel") == rel) & (F.col("dst") == dst) & (F.col("valid_to") == OPEN)).collect()
-        return next((r.asDict() for r in rows if r["edge_id"] not in self.changed["edges"]), None)
+        key = src, rel, dst
+        if key not in self.open_edges:
+            self._know_edges([key])
+        return self.open_edges[key]
 
     # Applying operations ----------------------------------------------------
 
@@ -188,11 +256,14 @@ class Memory:
             e = self._open_edge(self._entity(op["src"]), op["rel"], self._entity(op["dst"]))
             if e:
                 self._set("edges", e["edge_id"], valid_to=max(now, e["valid_from"]))
+                self.open_edges[e["src"], e["rel"], e["dst"]] = None
         elif kind == "space":
             self.vector_space = op["space"]
         else:
             raise Corrupt(f"the log holds an unknown operation {kind!r}")
         self.pending += 1
+        self.seq = op.get("seq", self.seq + 1)
+        self.stream_seq = max(self.stream_seq, op.get("stream", -1))
         return True
 
     def _link(self, src, rel, dst, provenance, now):
@@ -204,7 +275,7 @@ class Memory:
             self._set("edges", e["edge_id"], valid_to=now)
         i, self.next_edge = self.next_edge, self.next_edge + 1
         order = self.rels.setdefault(rel, len(self.rels))
-        self.new["edges"][i] = {"edge_id": i, "src": src, "rel": rel, "rel_ord": order, "dst": dst, "provenance": provenance, "recorded_at": now, "valid_from": now, "valid_to": OPEN}
+        self.new["edges"][i] = self.open_edges[src, rel, dst] = {"edge_id": i, "src": src, "rel": rel, "rel_ord": order, "dst": dst, "provenance": provenance, "recorded_at": now, "valid_from": now, "valid_to": OPEN}
 
     def _do(self, *ops: dict):
         if self.store.read_only:
@@ -212,9 +283,12 @@ class Memory:
         if self.busy:
             raise ReembedBusy("vectors are being made anew")
         for op in ops:
+            op["seq"] = self.seq + 1
+            if self.mark is not None:
+                op["stream"] = self.mark
             self._apply(op)
         self.store.append(list(ops))
-        if self.pending >= AUTO_OPS or self.store.log_size() >= AUTO_BYTES:
+        if self.pending >= self.checkpoint_ops or self.store.log_size() >= AUTO_BYTES:
             self.checkpoint()
 
     # Write verbs ------------------------------------------------------------
@@ -240,16 +314,20 @@ class Memory:
             raise Invalid("a metadata key twice")
         if (n := sum(len(k.encode()) + len(v.encode()) for k, v in pairs)) > c.max_blob:
             raise TooLarge("metadata", n, c.max_blob)
-        v = None
-        if vector is not None:
-            v = stored_vector(check_vector(vector, c.dim))
-        elif self.embedder is not None and c.dim:
-            made = self.embedder.embed([text])
-            if made is not None:
-                self.claim_vector_space(getattr(self.embedder, "embedder", self.embedder).space_id, now)
-                v = stored_vector(check_vector(made[0], c.dim))
+        v = stored_vector(check_vector(vector, c.dim)) if vector is not None else None
         return {"op": "remember", "now": now, "text": text, "entity": entity, "tags": tags, "links": [list(x) for x in links], "metadata": dict(sorted(pairs)), "vector": v, "valid_from": now if valid_from is None else valid_from}
 
+    def _embedded(self, ops: list[dict]) -> list[dict]:
+        """``ops`` with vectors where they have none, by one call."""
+        bare = [op for op in ops if op["vector"] is None]
+        if bare and self.embedder is not None and self.config.dim:
+            made = self.embedder.embed([op["text"] for op in bare])
+            if made is not None:
+                self.claim_vector_space(getattr(self.embedder, "embedder", self.embedder).space_id, bare[0]["now"])
+                for op, v in zip(bare, made):
+                    op["vector"] = stored_vector(check_vector(v, self.config.dim))
+        return ops
+
     def _similar(self, op: dict, below: int) -> list[tuple[int, float]]:
         """Hints for a fact: those of its entity's 32 latest before ``below``
         that are current and say nearly the same."""
@@ -272,22 +350,40 @@ class Memory:
         return sorted(out, key=lambda x: (-x[1], x[0]))[:SIMILAR_MOST]
 
     def remember(self, text: str, skip_similar: bool = False, **fact) -> dict:
-        op = self._checked(text, **fact) | {"id": self.next_fact}
-        self._do(op)
-        hints = [] if skip_similar else self._similar(op, op["id"])
-        return {"id": op["id"], "entity": self._entity(op["entity"]) if op["entity"] is not None else None, "similar": hints}
-
-    def remember_many(self, inputs: list[dict], skip_similar: bool = True) -> list[dict]:
-        """In order; the first error ends it and what came before stays."""
-        return [self.remember(skip_similar=skip_similar, **i) for i in inputs]
+        return self.remember_many([{"text": text} | fact], skip_similar)[0]
+
+    def remember_many(self, inputs: list[dict], skip_similar: bool = True, marks: list[int] | None = None) -> list[dict]:
+        """In order; the first error ends it and what came before stays.  Texts are
+        embedded by one call, names and links looked up at once, and the log is
+        made durable once.  ``marks``: the numbers that inputs have in a stream."""
+        ops, failed = [], None
+        for n, i in enumerate(inputs):
+            try:
+                ops.append(self._checked(**i) | ({"stream": marks[n]} if marks else {}))
+            except Exception as e:
+                failed = e
+                break
+        self._embedded(ops)
+        for n, op in enumerate(ops):
+            op["id"] = self.next_fact + n
+        self._know([n for op in ops for n in (op["entity"], *(d for _, d in op["links"]))])
+        self._know_edges({(self._entity(op["entity"]), r, self._entity(d)) for op in ops for r, d in op["links"]} - {(None, None, None)})
+        if ops:
+            self._do(*ops)
+        if failed is not None:
+            raise failed
+        hints = [[] if skip_similar else self._similar(op, op["id"]) for op in ops]
+        return [{"id": op["id"], "entity": self._entity(op["entity"]) if op["entity"] is not None else None, "similar": h} for op, h in zip(ops, hints)]
 
     def remember_guarded(self, text: str, **fact) -> dict:
         """Stored, unless a current fact of the entity says nearly the same."""
-        op = self._checked(text, **fact)
+        (op,) = self._embedded([self._checked(text, **fact)])
         hints = self._similar(op, self.next_fact)
         if hints:
             return {"stored": False, "similar": hints}
-        return {"stored": True, "checked": op["entity"] is not None} | self.remember(text, skip_similar=True, **fact)
+        self._do(op | {"id": self.next_fact})
+        entity = self._entity(op["entity"]) if op["entity"] is not None else None
+        return {"stored": True, "checked": op["entity"] is not None, "id": self.next_fact - 1, "entity": entity, "similar": []}
 
     def revise(self, target: int, text: str, **fact) -> dict:
         old = self._fact(target)
@@ -295,18 +391,31 @@ class Memory:
             raise NotFound(f"fact {target}")
         if old["valid_to"] != OPEN:
             raise AlreadyClosed(f"fact {target}")
-        op = self._checked(text, **fact) | {"id": self.next_fact, "target": target}
+        (op,) = self._embedded([self._checked(text, **fact)])
+        op |= {"id": self.next_fact, "target": target}
         self._do(op)
         return {"id": op["id"], "entity": self._entity(op["entity"]) if op["entity"] is not None else None, "similar": []}
 
     def forget(self, fact_id: int, now: int | None = None) -> bool:
-        if self._fact(fact_id)["tombstone"]:
-            return False
-        self._do({"op": "forget", "now": now_ms() if now is None else now, "id": fact_id})
-        return True
+        return self.forget_many([fact_id], now)[0]
 
     def forget_many(self, ids: list[int], now: int | None = None) -> list[bool]:
-        return [self.forget(i, now) for i in ids]
+        """In order; an unknown id ends it and those before stay forgotten."""
+        facts, ops, out, failed = self._found(ids), [], [], None
+        gone = {i for i, f in facts.items() if f["tombstone"]}
+        for i in ids:
+            if i not in facts:
+                failed = NotFound(f"fact {i}")
+                break
+            out.append(i not in gone)
+            if i not in gone:
+                gone.add(i)
+                ops.append({"op": "forget", "now": now_ms() if now is None else now, "id": i})
+        if ops:
+            self._do(*ops)
+        if failed:
+            raise failed
+        return out
 
     def link(self, src: str, rel: str, dst: str, provenance: int | None = None, now: int | None = None):
         if not rel or not normalized_name(src) or not normalized_name(dst):
@@ -329,11 +438,11 @@ class Memory:
         n = self._table("facts").where(current() & F.array_contains("tags", tag)).count()
         if n:
             self.checkpoint()
-            facts = self.base["facts"]
-            made = tag_ops.remove_tag(facts, tag, now_ms() if now is None else now, self.next_fact)
-            rest = facts.where(~(current() & F.array_contains("tags", tag)))
+            both = tag_ops.remove_tag(self.base["facts"], tag, now_ms() if now is None else now, self.next_fact)
+            made = both.where(F.col("fact_id") >= self.next_fact)
+            closed = both.where(F.col("fact_id") < self.next_fact).select("fact_id", "valid_to", F.lit(None).cast("boolean").alias("tombstone"))
             self.next_fact += n
-            self._commit({"facts": rest.unionByName(made)})
+            self._commit({"facts": made, "fact_changes": closed}, n=n)
         return {"affected": n}
 
     def load(self, rows: DataFrame, now: int | None = None) -> int:
@@ -344,23 +453,30 @@ class Memory:
         default = {"entity": F.lit(None).cast("string"), "tags": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>"), "recorded_at": at, "valid_from": at}
         for c, v in default.items():
             rows = rows.withColumn(c, F.coalesce(c, v) if c in rows.columns else v)
-        if rows.where(F.octet_length("text") > self.config.max_text).limit(1).count():
-            raise TooLarge("text", "a row", self.config.max_text)
         self.checkpoint()
+        # Names are brought to their form once; everything after reads this table.
+        path = self.store.staging("rows")
+        rows.select("ordinal", "text", *default).withColumn("norm_name", F.array_join(tokens_udf()(F.col("entity")), " ")).write.parquet(path)
+        rows = self.spark.read.parquet(path)
+        nameless = F.col("entity").isNotNull() & (F.col("norm_name") == "")
+        seen = rows.agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"), F.count_if(nameless).alias("nameless"), F.count_if(F.col("text").isNull()).alias("null")).first()
+        if (seen["longest"] or 0) > self.config.max_text:
+            raise TooLarge("text", seen["longest"], self.config.max_text)
+        if seen["nameless"] or seen["null"]:
+            raise Invalid(f"{seen['nameless']} entities' names without a word, {seen['null']} rows without a text")
         known = self.base["entities"]
-        made = write.entity_upsert(rows.where("entity is not null").select(F.col("entity").alias("name"), "ordinal"), known=known, next_entity=self.next_entity)
-        made = made.select("entity_id", "name", "norm_name", at.alias("created_at"))
+        made = write.entity_upsert(rows.where("entity is not null").select(F.col("entity").alias("name"), "ordinal", "norm_name"), known=known, next_entity=self.next_entity)
+        path = self.store.staging("entities")
+        made.select("entity_id", "name", "norm_name", at.alias("created_at")).write.parquet(path)
+        made = self.spark.read.parquet(path)
         entities = known.unionByName(made)
-        from ..functions.tokenizer import tokens_udf
-
-        keyed = rows.withColumn("norm_name", F.array_join(tokens_udf()(F.col("entity")), " "))
-        keyed = write.numbered(keyed, ["ordinal"], "fact_id", self.next_fact).join(entities.select("entity_id", "norm_name"), "norm_name", "left")
+        keyed = write.numbered(rows, ["ordinal"], "fact_id", self.next_fact)
+        keyed = keyed.join(entities.select("entity_id", "norm_name"), "norm_name", "left")
         new = keyed.select("fact_id", "entity_id", "text", "tags", "metadata", F.lit(None).cast("long").alias("revises"), "recorded_at", "valid_from", F.lit(OPEN).alias("valid_to"), F.lit(False).alias("tombstone"), F.lit(None).cast("struct<scale:double,q:array<tinyint>,sig:array<long>>").alias("vector"))
-        n = rows.count()
         before = self.next_fact
-        self.next_fact += n
-        self.next_entity = max(self.next_entity, (entities.agg(F.max("entity_id")).first()[0] or -1) + 1) if n else self.next_entity
-        self._commit({"facts": self.base["facts"].unionByName(new), "entities": entities})
+        self.next_fact += seen["n"]
+        self.next_entity += made.count()
+        self._commit({"facts": new, "entities": made}, n=seen["n"])
         return before
 
     # Vector spaces ----------------------------------------------------------
@@ -406,7 +522,7 @@ class Memory:
             out = facts.drop("vector").join(made, "fact_id", "left").withColumnRenamed("__v", "vector").select(*facts.columns)
             self.config = replace(self.config, dim=dim)
             self.vector_space = embedder.space_id
-            self._commit({"facts": out})
+            self._commit({}, {"facts": out, "fact_changes": self.spark.createDataFrame([], FACT_CHANGES)})
             return {"reembedded": self.base["facts"].where("vector is not null").count(), "dim": dim}
         finally:
             self.busy = False
@@ -419,7 +535,7 @@ class Memory:
             vector = made[0] if made else None
         q = {k: tuple(v) if isinstance(v, list) else v for k, v in q.items()}
         query = recalls.RecallQuery(now=now_ms() if now is None else now, text=text, vector=vector, **q)
-        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, self.tokenised), query, self.config)
+        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, postings=self.postings, lengths=self.lengths), query, self.config)
 
     def get(self, fact_id: int) -> dict | None:
         try:
@@ -447,7 +563,7 @@ class Memory:
     def stats(self) -> dict:
         f, e = self._table("facts"), self.edges
         row = upkeep.counters(f).first()
-        terms = self.tokenised.select(F.explode("tokens").alias("t")).distinct().count()
+        terms = self.postings.select("term").distinct().count()
         return {
             "facts": row["facts"], "entities": self.entities.count(), "terms": terms, "edges": e.where(F.col("valid_to") == OPEN).count(), "edge_versions": e.count(),
             "vectors": f.where("vector is not null").count(), "tombstones": row["tombstones"], "hnsw_indexed": 0,
@@ -471,52 +587,110 @@ class Memory:
 
     def import_lines(self, lines, batch: int = 128, now: int | None = None) -> dict:
         """Facts get new ids and the times of this load; edges' provenance is
-        mapped to the new ids, or dropped if it is unknown."""
-        ids, count = {}, {"facts": 0, "edges": 0}
-        for kind, d in jsonl.parse(lines):
-            if kind == "fact":
-                got = self.remember(d["text"], skip_similar=True, entity=d.get("entity"), tags=d.get("tags") or [], metadata=d.get("metadata") or {}, valid_from=d.get("valid_from"), now=now)
+        mapped to the new ids, or dropped if it is unknown.  Runs of facts are
+        remembered ``batch`` at a time; an error ends it and what came before
+        stays."""
+        ids, count, held = {}, {"facts": 0, "edges": 0}, []
+
+        def flush():
+            facts, held[:] = list(held), []
+            rows = [{"text": d["text"], "entity": d.get("entity"), "tags": d.get("tags") or [], "metadata": d.get("metadata") or {}, "valid_from": d.get("valid_from"), "now": now} for d in facts]
+            for d, got in zip(facts, self.remember_many(rows)):
+                count["facts"] += 1
                 if d.get("id") is not None:
                     ids[d["id"]] = got["id"]
-            else:
-                self.link(d["src"], d["rel"], d["dst"], ids.get(d.get("provenance")), now)
-            count[f"{kind}s"] += 1
+
+        try:
+            for kind, d in jsonl.parse(lines):
+                if kind == "fact":
+                    held.append(d)
+                    if len(held) >= batch:
+                        flush()
+                else:
+                    flush()
+                    self.link(d["src"], d["rel"], d["dst"], ids.get(d.get("provenance")), now)
+                    count["edges"] += 1
+        finally:
+            flush()
         return count
 
     # Upkeep -----------------------------------------------------------------
 
-    def _commit(self, tables: dict[str, DataFrame], reindex: bool = False):
-        """Write the next generation; texts that were tokenised stay so, by a
-        semi-join, unless they are to be indexed anew."""
-        every = {t: tables.get(t, self._table(t)) for t in self.base}
-        facts, known = every["facts"], self.tokenised
-        made = lexical.tokenised(facts if reindex else facts.join(known.select("fact_id"), "fact_id", "left_anti"))
-        every["tokens"] = made if reindex else known.join(facts.select("fact_id"), "fact_id", "left_semi").unionByName(made)
-        state = {"next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "vector_space": self.vector_space, "rels": self.rels, "config": self.config.to_dict()}
-        self.store.commit(every, state)
+    def _commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, n: int = 0, reindex: bool = False):
+        """Write the next generation.  ``added`` facts, ``n`` or so, are indexed by
+        one pass over their texts; ``replaced`` ones keep the postings they have,
+        by a semi-join, unless they are to be indexed anew."""
+        if self.store.read_only:
+            raise StorageError("this handle only reads")
+        added, replaced = dict(added), dict(replaced or {})
+        if "facts" in added:
+            lengths, rows = self._index(added["facts"], n)
+            added |= {"lengths": lengths, "postings": rows}
+        if "facts" in replaced:
+            ids = replaced["facts"].select("fact_id")
+            if reindex:
+                lengths, rows = self._index(replaced["facts"], n)
+            else:
+                lengths = self.store.table("lengths").join(ids, "fact_id", "left_semi")
+                rows = self._dealt(self.store.table("postings").join(ids, "fact_id", "left_semi"), n)
+            replaced |= {"lengths": lengths, "postings": rows}
+        state = {
+            "next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "vector_space": self.vector_space, "rels": self.rels, "config": self.config.to_dict(),
+            "seq": self.seq, "stream_seq": self.stream_seq,
+        }
+        self.store.commit(added, replaced, state)
         self._load()
 
+    def _index(self, facts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        path = self.store.staging("index")
+        lexical.indexed(facts).write.parquet(path)
+        index = self.spark.read.parquet(path)
+        return index.select("fact_id", "n"), self._dealt(lexical.stored_postings(index), n)
+
+    @staticmethod
+    def _dealt(postings: DataFrame, n: int) -> DataFrame:
+        """In folders by bucket and files in the order of terms; a frequent term's
+        postings are spread over files by fact."""
+        files = 1 + n // FACTS_A_FILE
+        return postings.repartition("bucket", F.pmod("fact_id", F.lit(files))).sortWithinPartitions("bucket", "term", "fact_id")
+
     def checkpoint(self):
         """Write what the log holds as the next generation."""
-        if self.pending or not self.store.generation:
-            self._commit({})
+        if self.store.read_only or (not self.pending and self.store.generation):
+            return
+        added = {t: self._added(t) for t in SCHEMAS if self.new[t] or not self.store.generation}
+        added |= {f"{t[:-1]}_changes": self._changes(t) for t in ("facts", "edges") if self.changed[t]}
+        self._commit(added, n=len(self.new["facts"]))
+        if self._folders() >= MERGE_FROM:
+            self._merge(self.base["facts"])
+
+    def _folders(self) -> int:
+        return max((len(f) for f in self.store.folders.values()), default=0)
+
+    def _merge(self, facts: DataFrame, reindex: bool = False):
+        """Every table as one folder, with all changes in it and ``facts`` as its facts."""
+        none = {"fact_changes": self.spark.createDataFrame([], FACT_CHANGES), "edge_changes": self.spark.createDataFrame([], EDGE_CHANGES)}
+        self._commit({}, {"facts": facts, "entities": self.base["entities"], "edges": self.base["edges"]} | none, self.next_fact, reindex)
 
     def maintain(self, mode: str = "auto") -> dict:
         """Purge the forgotten; ids stay used, revisions and edge versions stay."""
         if mode not in ("auto", "compact", "reindex_text", "optimize_vectors", "full"):
             raise Invalid(f"maintain mode {mode!r}")
-        f = self._table("facts")
-        before = upkeep.counters(f).first()
-        vectors = f.where("vector is not null").count()
+        self.checkpoint()
+        counts = lambda f: f.agg(F.count("*").alias("facts"), F.count_if("tombstone").alias("tombstones"), F.count("vector").alias("vectors")).first()
+        before = counts(self.base["facts"])
         anew = mode in ("full", "reindex_text")
-        idle = not anew and not before["tombstones"]
+        apart = self._folders() > 1 or any(self.store.folders.get(t) for t in ("fact_changes", "edge_changes"))
+        edges = mode != "auto" and (len(self.store.folders.get("edges", ())) > 1 or bool(self.store.folders.get("edge_changes")))
+        idle = not anew and not before["tombstones"] and not (apart and mode != "auto")
         if not idle:
-            self._commit({"facts": upkeep.purge(f)}, reindex=anew)
-        after = self._table("facts")
+            self._merge(upkeep.purge(self.base["facts"]), anew)
+        after = before if idle else counts(self.base["facts"])
         return {
-            "purged": 0 if idle else before["tombstones"], "no_op": idle, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after.count(),
-            "vectors_before": vectors, "vectors_after": after.where("vector is not null").count(), "hnsw_indexed_before": 0, "hnsw_indexed_after": 0,
-            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew, "hnsw_rebuilt": False, "edges_compacted": False,
+            "purged": 0 if idle else before["tombstones"], "no_op": idle, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after["facts"],
+            "vectors_before": before["vectors"], "vectors_after": after["vectors"], "hnsw_indexed_before": 0, "hnsw_indexed_after": 0,
+            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew, "hnsw_rebuilt": False, "edges_compacted": not idle and edges,
+            "generation": self.generation, "folders": self._folders(),
         }
 
     def verify(self):
@@ -566,7 +740,7 @@ def recover(spark: SparkSession, src: str, dst: str) -> dict:
         with Memory(spark, dst, old.config) as new:
             new.next_fact, new.next_entity, new.next_edge = old.next_fact, old.next_entity, old.next_edge
             new.vector_space, new.rels = old.vector_space, old.rels
-            new._commit({"facts": kept, "entities": old.entities, "edges": old.edges})
+            new._commit({"facts": kept, "entities": old.entities, "edges": old.edges}, n=old.next_fact)
             n = new.base["facts"].count()
         return {"kept": n} | {f"dropped_{k}": lost.get(k, 0) for k in ("text", "vector", "metadata")}
     finally:

@@ -43,12 +43,14 @@ class RecallResult:
 @dataclass(frozen=True)
 class Frames:
     """What recall reads: facts (with ``entity`` names), entities, edge history,
-    and optionally facts already tokenised."""
+    and optionally facts already tokenised, or their postings and lengths."""
 
     facts: DataFrame
     entities: DataFrame
     edges: DataFrame
     tokenised: DataFrame | None = None
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
 
 
 def query_terms(spark: SparkSession, queries: dict) -> DataFrame:
@@ -68,9 +70,12 @@ def sources(frames: Frames, q: RecallQuery, config: Config) -> tuple[dict[int, D
     live = facts.where(admitted).select("fact_id")
     out, walked = {}, graph.Walk()
     if q.text and (terms := tokens(q.text)):
-        rows = frames.tokenised if frames.tokenised is not None else lexical.tokenised(facts)
-        scored = lexical.bm25_one(rows, terms, config.bm25_k1, config.bm25_b).join(live, "fact_id", "left_semi")
-        out[BM25] = lexical.top_one(scored)
+        if frames.postings is not None:
+            scored = lexical.bm25_stored(frames.postings, frames.lengths, terms, config.bm25_k1, config.bm25_b)
+        else:
+            rows = frames.tokenised if frames.tokenised is not None else lexical.tokenised(facts)
+            scored = lexical.bm25_one(rows, terms, config.bm25_k1, config.bm25_b)
+        out[BM25] = lexical.top_one(scored.join(live, "fact_id", "left_semi"))
     if q.vector is not None:
         v = quantized_literal(check_vector(q.vector, config.dim))
         slots = facts.where("vector is not null").withColumn("slot", F.col("fact_id"))
@@ -100,8 +105,11 @@ def fused(facts: DataFrame, parts: dict[int, DataFrame], now, config: Config) ->
 def recall(frames: Frames, q: RecallQuery, config: Config = Config()) -> RecallResult:
     """One query.  A tag that no fact carries gives an empty result, edges and
     rendered text included."""
-    if any(frames.facts.where(F.array_contains("tags", t)).isEmpty() for t in q.tags):
-        return RecallResult()
+    if q.tags:
+        # One pass for all of them.
+        held = frames.facts.agg(*[F.bool_or(F.array_contains("tags", t)).alias(f"t{i}") for i, t in enumerate(q.tags)]).first()
+        if not all(held):
+            return RecallResult()
     parts, walked = sources(frames, q, config)
     rows = []
     truncated = False
@@ -120,20 +128,24 @@ def recall(frames: Frames, q: RecallQuery, config: Config = Config()) -> RecallR
     return RecallResult(facts, edges, rendered, truncated)
 
 
-def recall_many(facts: DataFrame, tokenised: DataFrame, queries: DataFrame, config: Config = Config(), k: int = K_DEFAULT, budget: int = BUDGET_DEFAULT, anchors: DataFrame | None = None, edges: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def recall_many(facts: DataFrame, tokenised: DataFrame | tuple[DataFrame, DataFrame], queries: DataFrame, config: Config = Config(), k: int = K_DEFAULT, budget: int = BUDGET_DEFAULT, anchors: DataFrame | None = None, edges: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, fact_id, score, sources): a table of queries at once.
 
     ``queries`` is (query_id, now, terms array<string>[, from_ms, to_ms]): words
     and, where both ends are given, a range of recorded time.  ``anchors``
     (query_id, entity_id, pos) walk over the edge history ``edges``; ``vectors``
-    (query_id, vector) are quantized.  Each source and the selection run once,
-    keyed by the query; nothing is collected.
+    (query_id, vector) are quantized.  ``tokenised`` is (fact_id, tokens), or a
+    pair of postings and lengths as a store keeps them.  Each source and the
+    selection run once, keyed by the query; no fact is collected.
     """
     terms = queries.select("query_id", F.posexplode("terms").alias("pos", "term"))
     when = queries.select("query_id", "now")
     live = (F.col("recorded_at") <= F.col("now")) & (F.col("valid_from") <= F.col("now")) & (F.col("valid_to") > F.col("now")) & ~F.col("tombstone")
     clocks = facts.select("fact_id", "recorded_at", "valid_from", "valid_to", "tombstone")
-    scored = lexical.bm25(tokenised, terms, config.bm25_k1, config.bm25_b)
+    if isinstance(tokenised, tuple):
+        scored = lexical.bm25_of_postings(*tokenised, terms, config.bm25_k1, config.bm25_b)
+    else:
+        scored = lexical.bm25(tokenised, terms, config.bm25_k1, config.bm25_b)
     parts = {BM25: lexical.top(scored.join(when, "query_id").join(clocks, "fact_id").where(live).select("query_id", "fact_id", "score"))}
     if "from_ms" in queries.columns:
         span = queries.where("from_ms is not null and to_ms is not null").select("query_id", "now", "from_ms", "to_ms")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenizer import tokens_udf
+from ..operators.number import numbered
 from ..schema import OPEN
 
 
@@ -11,8 +12,8 @@ def entity_upsert(names: DataFrame, tokenizer=None, known: DataFrame | None = No
     """(entity_id, norm_name, name, first_at) of the entities that ``names``
     (name, ordinal) brings in: the first spelling of each key, numbered in the
     order of first mention.  ``known`` (norm_name) are left out, as are names
-    without a token."""
-    key = F.array_join((tokenizer or tokens_udf())(F.col("name")), " ")
+    without a token.  A column norm_name in ``names`` is taken as their key."""
+    key = F.col("norm_name") if "norm_name" in names.columns else F.array_join((tokenizer or tokens_udf())(F.col("name")), " ")
     new = names.select("name", "ordinal", key.alias("norm_name")).where("norm_name <> ''")
     new = new.groupBy("norm_name").agg(F.min_by("name", "ordinal").alias("name"), F.min("ordinal").alias("first_at"))
     if known is not None:
@@ -20,24 +21,6 @@ def entity_upsert(names: DataFrame, tokenizer=None, known: DataFrame | None = No
     return numbered(new, ["first_at", "norm_name"], "entity_id", next_entity)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, start: int, parts: int = 256) -> DataFrame:
-    """``rows`` with gapless ids from ``start`` in ``order``, whose first column
-    is a number.
-
-    Rows are dealt into ranges between quantiles of that column and numbered
-    within each; only the ranges' sizes, at most ``parts``, meet in one place.
-    A row's range depends on its value alone, so every evaluation agrees.
-    """
-    marks = rows.select(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    marks = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast("array<long>")
-    dealt = rows.withColumn("__range", F.size(F.filter(marks, lambda m: m <= F.col(order[0]))))
-    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    out = dealt.withColumn("__nth", nth).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")  # a row a range
-    return out.withColumn(name, F.col("__nth") + F.col("__before") + start).drop("__range", "__nth", "__before")
-
-
 def replay_links(ops: DataFrame) -> DataFrame:
     """Edge versions from (op, src, rel, dst, provenance, now, seq) rows.
 

@@ -11,8 +11,14 @@ FACTS = (
     "fact_id long, entity_id long, text string, tags array<string>, metadata map<string,string>, revises long, "
     "recorded_at long, valid_from long, valid_to long, tombstone boolean, vector struct<scale:double,q:array<tinyint>,sig:array<long>>"
 )
-TOKENS = "fact_id long, tokens array<string>"
+LENGTHS = "fact_id long, n long"
+POSTINGS = "term string, fact_id long, tf int, len int, bucket int"
+#: Folders that a store's postings are kept in, by a hash of the term.
+BUCKETS = 16
 ENTITIES = "entity_id long, name string, norm_name string, created_at long"
+# What later generations changed in rows that stand in earlier folders.
+FACT_CHANGES = "fact_id long, valid_to long, tombstone boolean"
+EDGE_CHANGES = "edge_id long, valid_to long"
 EDGES = "edge_id long, src long, rel string, rel_ord long, dst long, provenance long, recorded_at long, valid_from long, valid_to long"
 
 # Hard limits of recall and of the write verbs.

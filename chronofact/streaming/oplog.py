@@ -2,7 +2,8 @@
 
 ``apply_stream`` follows a folder of JSON-lines files of operations and applies
 each micro-batch to a memory in the order of ``seq``; operations that were
-applied before are passed over, so a batch that runs twice changes nothing.
+applied before are passed over, so a batch that runs twice changes nothing; the
+store's log and manifest hold the number, so that holds after a restart too.
 ``tag_counts`` keeps counts of tags by windows of recorded time, with a
 watermark for late rows.
 """
@@ -22,18 +23,38 @@ def read_ops(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Da
     return spark.readStream.schema(OPS).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def apply_batch(memory: Memory, batch: DataFrame) -> int:
-    """Apply the operations of a batch that are new, in order; how many."""
-    done = memory.store.manifest.get("seq", -1) if not hasattr(memory, "applied_seq") else memory.applied_seq
-    n = 0
-    # Verbs depend on one another, so they are folded one by one, row by row.
-    for r in batch.where(F.col("seq") > done).orderBy("seq").toLocalIterator():
-        verb, fields = r["op"], json.loads(r["payload"] or "{}")
-        if verb not in ("remember", "revise", "forget", "link", "unlink"):
-            raise ValueError(f"operation {r['seq']}: unknown verb {verb!r}")
-        getattr(memory, verb)(**fields, now=r["now"])
-        memory.applied_seq = r["seq"]
-        n += 1
+def apply_batch(memory: Memory, batch: DataFrame, together: int = 256) -> int:
+    """Apply the operations of a batch that are new, in order; how many.
+
+    Verbs depend on one another, so they are folded in order; runs of
+    ``remember`` go ``together`` at a time.
+    """
+    n, held, marks = 0, [], []
+
+    def flush():
+        if held:
+            memory.remember_many(list(held), marks=list(marks))
+            held.clear()
+            marks.clear()
+
+    try:
+        for r in batch.where(F.col("seq") > memory.stream_seq).dropDuplicates(["seq"]).orderBy("seq").toLocalIterator():
+            verb, fields = r["op"], json.loads(r["payload"] or "{}")
+            if verb not in ("remember", "revise", "forget", "link", "unlink"):
+                raise ValueError(f"operation {r['seq']}: unknown verb {verb!r}")
+            if verb == "remember":
+                held.append(fields | {"now": r["now"]})
+                marks.append(r["seq"])
+                if len(held) >= together:
+                    flush()
+            else:
+                flush()
+                memory.mark = r["seq"]
+                getattr(memory, verb)(**fields, now=r["now"])
+            n += 1
+    finally:
+        memory.mark = None
+        flush()
     return n
 
 

@@ -13,10 +13,10 @@ DAY = 86_400_000
 @pytest.fixture
 def memory(spark, tmp_path):
     with Memory(spark, str(tmp_path / "m")) as m:
-        m.remember("prefers tokio for async work", entity="user", tags=["pref"], now=100 * DAY)
-        m.remember("building a memory engine", entity="user", links=[("works_on", "notebase")], now=200 * DAY)
-        m.remember("notebase stores facts in flat arenas", entity="notebase", tags=["project:notebase"], now=300 * DAY)
-        m.remember("the weather was nice", now=400 * DAY)
+        m.remember("keeps bees behind the orchard", entity="Marta", tags=["hobby"], now=10 * DAY)
+        m.remember("repaired the sluice gate", entity="Marta", links=[("employed_by", "Old Mill")], now=40 * DAY)
+        m.remember("grinds rye on Fridays", entity="Old Mill", tags=["place:river"], now=90 * DAY)
+        m.remember("frost came early this year", now=130 * DAY)
         yield m
 
 
@@ -25,69 +25,94 @@ def ids(r):
 
 
 def test_recall_by_each_source(memory):
-    now = 500 * DAY
-    assert ids(memory.recall("tokio async", now))[0] == 0
-    r = memory.recall(now=now, entities=["notebase"])
-    assert ids(r) == [2, 1, 0] or set(ids(r)) >= {1, 2} and 3 not in ids(r)
-    assert [e["provenance"] for e in r.edges] == [1]
-    both = memory.recall("flat arenas", now, entities=["notebase"])
-    assert ids(both)[0] == 2 and both.facts[0]["sources"] == 3
-    assert ids(memory.recall(now=now, range=(150 * DAY, 350 * DAY))) == [2, 1]
-    assert ids(memory.recall(now=now, tags=["pref"], range=(50 * DAY, 150 * DAY))) == [0]
-    nothing = memory.recall("tokio", now, tags=["nope"], entities=["notebase"])
+    now = 150 * DAY
+    assert ids(memory.recall("bees orchard", now)) == [0]
+    assert ids(memory.recall("early frost", now)) == [3]
+    walked = memory.recall(now=now, entities=["old MILL"])
+    assert ids(walked)[0] == 2 and set(ids(walked)) == {0, 1, 2}
+    assert walked.edges == [{"src": "Marta", "rel": "employed_by", "dst": "Old Mill", "provenance": 1}]
+    assert ids(memory.recall(now=now, entities=["Old Mill"], graph_depth=0)) == [2]
+    both = memory.recall("rye", now, entities=["Marta"])
+    assert {f["fact_id"]: f["sources"] for f in both.facts} == {0: 2, 1: 2, 2: 3}
+    assert ids(memory.recall(now=now, range=(40 * DAY, 130 * DAY))) == [2, 1]
+    assert ids(memory.recall(now=now, tags=["hobby"], range=(0, 200 * DAY))) == [0]
+    assert ids(memory.recall("gate", now, tags=["hobby"])) == []
+    nothing = memory.recall("bees", now, tags=["unheard"], entities=["Marta"])
     assert not nothing.facts and not nothing.edges and nothing.rendered == ""
-    assert ids(memory.recall("tokio", now, as_of=50 * DAY)) == []
-    assert len(ids(memory.recall("tokio async engine arenas weather", now, k=1))) == 1
+    assert ids(memory.recall("rye", now, as_of=89 * DAY)) == [] and ids(memory.recall("rye", now, as_of=90 * DAY)) == [2]
+    few = memory.recall("bees gate rye frost", now, k=2)
+    assert len(few.facts) == 2 and few.truncated
 
 
 def test_rendered_block(memory):
-    memory.revise(0, "prefers async-std now", entity="user", now=450 * DAY)
-    r = memory.recall("prefers tokio arenas", 500 * DAY, entities=["notebase"], include_closed=True, k=3)
-    assert r.rendered == (
-        "## memory\n"
-        "- [f4] user: prefers async-std now (1971-03; active)\n"
-        "- [f2] notebase: notebase stores facts in flat arenas (1970-10; active) #project:notebase\n"
-        "- [f0] user: prefers tokio for async work (1970-04 → 1971-03; closed) #pref\n"
-        "- links: user —works_on→ notebase\n"
-    )
-    assert ids(memory.recall("prefers", 500 * DAY)) == [4]
-    assert len(memory.recall("prefers", 500 * DAY, include_closed=True).facts) == 2
-    small = memory.recall("prefers tokio arenas", 500 * DAY, entities=["notebase"], token_budget=20)
+    memory.revise(0, "sold the hives", entity="Marta", now=140 * DAY)
+    r = memory.recall("hives", 150 * DAY, entities=["Marta"], include_closed=True, graph_depth=0)
+    lines = r.rendered.splitlines()
+    assert lines[0] == "## memory" and lines[1] == "- [f4] Marta: sold the hives (1970-05; active)"
+    assert set(lines[2:]) == {"- [f0] Marta: keeps bees behind the orchard (1970-01 → 1970-05; closed) #hobby", "- [f1] Marta: repaired the sluice gate (1970-02; active)"}
+    linked = memory.recall("hives", 150 * DAY, entities=["Marta"], graph_depth=1).rendered
+    assert linked.endswith("- links: Marta —employed_by→ Old Mill\n") and "[f0]" not in linked
+    assert ids(memory.recall("orchard", 150 * DAY)) == [] and ids(memory.recall("orchard", 150 * DAY, include_closed=True)) == [0]
+    small = memory.recall("hives gate", 150 * DAY, token_budget=15)
     assert len(small.facts) == 1 and small.truncated
 
 
 def test_verbs_and_errors(memory):
-    assert memory.revise(0, "now this", entity="user", now=450 * DAY)["id"] == 4
+    assert memory.revise(2, "grinds wheat", entity="Old Mill", now=145 * DAY)["id"] == 4
     with pytest.raises(AlreadyClosed):
-        memory.revise(0, "again")
+        memory.revise(2, "grinds oats")
     with pytest.raises(NotFound):
-        memory.revise(99, "x")
-    assert memory.forget_many([3, 3]) == [True, False]
-    assert memory.get(3) is None and memory.get(0)["valid_to"] == 450 * DAY
+        memory.revise(77, "nothing")
+    assert memory.forget_many([1, 3, 1]) == [True, True, False]
+    assert memory.get(3) is None and memory.get(2)["valid_to"] == 145 * DAY
     with pytest.raises(NotFound):
-        memory.forget(99)
-    for bad in ({"tags": [""]}, {"links": [("r", "x")]}, {"entity": "!"}, {"metadata": [("a", "1"), ("a", "2")]}, {"vector": [1.0]}):
+        memory.forget(77)
+    with pytest.raises(NotFound):
+        memory.forget_many([0, 77])
+    assert memory.get(0) is None  # what comes before the first error stays done
+    memory.remember("back again", now=146 * DAY)
+    for bad in ({"tags": ["ok", ""]}, {"links": [("near", "weir")]}, {"entity": "--"}, {"metadata": [("k", "1"), ("k", "2")]}, {"vector": [0.5]}):
         with pytest.raises(Invalid):
-            memory.remember("x", **bad)
+            memory.remember("anything", **bad)
     with pytest.raises(TooLarge):
-        memory.remember("é" * 2049)
+        memory.remember("ö" * 2049)
     with pytest.raises(TooLarge):
-        memory.remember("x", tags=[str(i) for i in range(33)])
-    memory.remember("with data", metadata={"b": "2", "a": "1"}, tags=["t", "t"])
-    assert list(memory.metadata_of(5)) == ["a", "b"] and memory.tags_of(5) == ["t"]
+        memory.remember("anything", tags=[f"t{i}" for i in range(33)])
+    memory.remember("a sack of flour", metadata={"weight": "50", "sort": "rye"}, tags=["stock", "stock"])
+    assert list(memory.metadata_of(6)) == ["sort", "weight"] and memory.tags_of(6) == ["stock"]
     memory.verify()
 
 
 def test_similar_and_guarded(memory):
-    memory.remember("lives in Moscow city", entity="anna")
-    hint = memory.remember("lives in Moscow now", entity="anna")["similar"]
-    assert [i for i, _ in hint] == [4] and hint[0][1] > 0.5
-    assert memory.remember("lives in Moscow now", entity="boris")["similar"] == []
-    memory.remember("alpha beta gamma", entity="x")
+    memory.remember("parks the van on Elm street", entity="Otto")
+    hint = memory.remember("parks the van on Oak street", entity="Otto")["similar"]
+    assert hint == [(4, pytest.approx(5 / 7))]
+    assert memory.remember("parks the van on Oak street", entity="Ida")["similar"] == []
+    memory.remember("red green blue teal", entity="palette")
     n = memory.next_fact
-    got = memory.remember_guarded("alpha beta gamma unseen delta", entity="x")
-    assert not got["stored"] and got["similar"][0][1] == pytest.approx(0.6) and memory.next_fact == n
-    assert memory.remember_guarded("no entity")["checked"] is False
+    got = memory.remember_guarded("red green blue teal pink", entity="palette")
+    assert not got["stored"] and got["similar"] == [(n - 1, pytest.approx(0.8))] and memory.next_fact == n
+    memory.forget(n - 1)
+    assert memory.remember_guarded("red green blue teal pink", entity="palette")["stored"]
+    assert memory.remember_guarded("of nobody")["checked"] is False
+
+
+def test_many_at_once_equal_one_by_one(spark, tmp_path):
+    rows = [{"text": f"note {i} of the {['mill', 'weir', 'barn'][i % 3]}", "entity": f"E {i % 4}", "tags": [f"t{i % 2}"], "links": [("near", f"e  {(i + 1) % 5}")], "now": i} for i in range(20)]
+    with Memory(spark, str(tmp_path / "a"), Config(dim=8), HashingEmbedder(8)) as a, Memory(spark, str(tmp_path / "b"), Config(dim=8), HashingEmbedder(8)) as b:
+        calls = []
+        keep = a.embedder.embed
+        a.embedder.embed = lambda texts: calls.append(len(texts)) or keep(texts)
+        assert [r["id"] for r in a.remember_many(rows)] == list(range(20)) and calls == [20]
+        for r in rows:
+            b.remember(r["text"], **{k: v for k, v in r.items() if k != "text"})
+        state = lambda m: [sorted(map(str, t.collect())) for t in (m.facts, m.entities, m.edges)]
+        assert state(a) == state(b)
+        lines = (tmp_path / "a" / "ops.jsonl").read_text().count("\n")
+        assert a.forget_many([3, 4, 3]) == [True, True, False] and (tmp_path / "a" / "ops.jsonl").read_text().count("\n") == lines + 2
+        with pytest.raises(Invalid):
+            a.remember_many([{"text": "fine"}, {"text": "x", "tags": [""]}, {"text": "never"}])
+        assert a.next_fact == 21  # what came before the first error stays
 
 
 def test_links_have_versions(memory):
@@ -131,6 +156,99 @@ def test_reopen_replays_and_generations_agree(spark, tmp_path):
         assert [d for d, _ in m.scrub()]
 
 
+def tables(m):
+    return [sorted(map(str, t.collect())) for t in (m.facts, m.entities, m.edges)]
+
+
+def test_a_crash_between_naming_and_clearing(spark, tmp_path):
+    """The log is still there when the generation that holds it is named."""
+    path = tmp_path / "m"
+    with Memory(spark, str(path)) as m:
+        m.remember("first", entity="A", links=[("r", "B")], now=1)
+        m.link("A", "r", "B", provenance=None, now=2)
+        m.unlink("A", "r", "B", now=3)
+        m.link("A", "r", "B", provenance=0, now=4)
+        m.forget(0, now=5)
+        log = (path / "ops.jsonl").read_text()
+        m.checkpoint()
+        before = tables(m)
+    (path / "ops.jsonl").write_text(log)
+    with Memory(spark, str(path)) as m:
+        assert m.replayed == 0 and tables(m) == before and not m.store.log_size()
+        m.link("A", "r", "C", now=6)
+        after = tables(m)
+    (path / "ops.jsonl").write_text(log + (path / "ops.jsonl").read_text())
+    with Memory(spark, str(path)) as m:
+        assert m.replayed == 1 and tables(m) == after
+
+
+def test_generations_add_folders_until_they_are_merged(spark, tmp_path):
+    path = tmp_path / "m"
+    with Memory(spark, str(path)) as m:
+        for i in range(4):
+            m.remember(f"line {i} of the ledger", entity=f"E{i % 2}", links=[("near", "F")], now=i)
+            if i:
+                m.revise(m.next_fact - 2, f"line {i} anew", entity="E0", now=i)
+            m.checkpoint()
+        m.forget(1)
+        m.unlink("E0", "near", "F", now=9)
+        before, found = tables(m), ids(m.recall("ledger anew line", 100))
+        assert len(m.store.folders["facts"]) == 4 and len(m.store.folders["fact_changes"]) == 3
+        m.checkpoint()
+        assert tables(m) == before and ids(m.recall("ledger anew line", 100)) == found
+        kept = {f: (path / f).stat().st_mtime_ns for f in m.store.manifest["files"]}
+        got = m.maintain("compact")
+        assert got["purged"] == 1 and got["edges_compacted"] and got["folders"] == 1 and not any((path / f).exists() for f in kept)
+        assert [r for r in before[0] if "fact_id=1," not in r] == tables(m)[0] and before[1:] == tables(m)[1:]
+        assert ids(m.recall("ledger anew line", 100)) == found
+        m.verify()
+        assert [d for d, _ in m.scrub()] and m.stats()["terms"] == 9
+    with Memory(spark, str(path)) as m:
+        assert ids(m.recall("ledger anew line", 100)) == found
+
+
+def test_pins_of_dead_processes_do_not_count(spark, tmp_path):
+    import socket
+    import subprocess
+    import sys
+
+    path = tmp_path / "m"
+    with Memory(spark, str(path)) as m:
+        m.remember("a")
+        m.checkpoint()
+        gone = subprocess.Popen([sys.executable, "-c", ""])
+        gone.wait()
+        for pid, host in ((gone.pid, socket.gethostname()), (1, "elsewhere")):
+            (path / "pins" / f"1-{pid}-x").write_text(json.dumps({"host": host, "folders": ["gen=1/facts" if pid == 1 else "gen=1/edges"]}))
+        m.maintain("full")
+        assert (path / "gen=1" / "facts").exists() and not (path / "gen=1" / "edges").exists()
+        assert not (path / "pins" / f"1-{gone.pid}-x").exists()
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "1g").getOrCreate()
+from chronofact.plans.memory import Memory
+with Memory(spark, {str(tmp_path / "m")!r}) as m:
+    m.remember("one fact", entity="E")
+    m.checkpoint()
+    m.load(spark.createDataFrame([(0, "two", "F")], "ordinal long, text string, entity string"))
+    print("found", [f["fact_id"] for f in m.recall("two").facts])
+"""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(__import__("pyspark").__file__)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_HOME": home}
+    got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found [1]" in got.stdout, got.stderr[-3000:]
+
+
 def test_log_damage_and_scrub(spark, tmp_path):
     path = tmp_path / "m"
     with Memory(spark, str(path)) as m:
@@ -201,7 +319,7 @@ def test_recall_many_equals_single_recalls(spark, tmp_path):
         anchors = spark.createDataFrame([(i, m.entity(n), p) for i, (_, ns, _) in enumerate(asked) for p, n in enumerate(ns)], "query_id long, entity_id long, pos int")
         made = [(i, stored_vector(e.embed([t])[0])) for i, (t, _, _) in enumerate(asked)]
         vectors = spark.createDataFrame(made, "query_id long, vector struct<scale:double,q:array<tinyint>,sig:array<long>>")
-        got = recall_many(m.facts, m.tokenised, q, m.config, anchors=anchors, edges=m.edges, vectors=vectors).orderBy("query_id", "rank").collect()
+        got = recall_many(m.facts, (m.postings, m.lengths), q, m.config, anchors=anchors, edges=m.edges, vectors=vectors).orderBy("query_id", "rank").collect()
         for i, (t, ns, r) in enumerate(asked):
             one = m.recall(t, 25 * DAY, e.embed([t])[0], entities=ns, range=r)
             assert [(x["fact_id"], x["sources"]) for x in got if x["query_id"] == i] == [(f["fact_id"], f["sources"]) for f in one.facts]
@@ -237,7 +355,7 @@ def test_jsonl_round_trip(spark, tmp_path, memory):
     with Memory(spark, str(tmp_path / "copy")) as c:
         assert c.import_lines(["", *lines, '{"text": "no kind"}'], now=7) == {"facts": 4, "edges": 1}
         e = c.edges.first()
-        assert c.get(e["provenance"])["text"] == "building a memory engine" and c.get(0)["valid_to"] == OPEN
+        assert c.get(e["provenance"])["text"] == "repaired the sluice gate" and c.get(0)["valid_to"] == OPEN
         with pytest.raises(Invalid, match="line 1"):
             c.import_lines(['{"kind": "x"}'])
 

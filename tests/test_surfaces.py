@@ -97,6 +97,13 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert m.next_fact == 2 and m.edges.count() == 1
+        one = spark.createDataFrame([(s, o, s + 1, json.dumps(p)) for s, o, p in ops], oplog.OPS)
+    with Memory(spark, str(tmp_path / "m")) as m:  # opened again, from its log
+        assert oplog.apply_batch(m, one) == 0 and m.next_fact == 2
+        m.checkpoint()
+    with Memory(spark, str(tmp_path / "m")) as m:  # and from its tables
+        more = spark.createDataFrame([(4, "remember", 5, '{"text": "d"}'), (3, "remember", 4, '{"text": "c"}'), (2, "link", 3, "{}")], oplog.OPS)
+        assert oplog.apply_batch(m, more) == 2 and [m.get(i)["text"] for i in (2, 3)] == ["c", "d"] and m.stream_seq == 4
     rows = spark.createDataFrame([(0, ["x", "y"]), (1000, ["x"]), (90_000_000, ["x"])], "recorded_at long, tags array<string>")
     rows.write.parquet(str(tmp_path / "facts"))
     s = oplog.tag_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "facts"))).writeStream.format("memory").queryName("tag_counts").outputMode("complete").start()
