@@ -35,16 +35,26 @@ def neighbours(history: DataFrame, ids: list[int], as_of: int | None = None) ->
     live = history.where(F.col("valid_to") == OPEN) if as_of is None else history.where((F.col("valid_from") <= as_of) & (F.col("valid_to") > as_of))
     out = live.join(frontier, F.col("src") == F.col("at")).withColumns({"side": F.lit(0), "other": F.col("dst")})
     back = live.join(frontier, F.col("dst") == F.col("at")).withColumns({"side": F.lit(1), "other": F.col("src")})
-    order = ["side", "rel_ord", "other", "edge_id"] if as_of is None else ["side", F.desc("valid_from"), F.desc("edge_id")]
-    by = Window.partitionBy("at").orderBy(*order)
-    rows = out.unionByName(back).withColumn("ord", F.row_number().over(by))
-    # Up to 128 edges may be collected already, as many more can be; beyond
-    # them only an edge to a neighbour not seen before can matter.
-    first = Window.partitionBy("at", "other").orderBy("ord")
-    rows = rows.withColumn("turn", F.row_number().over(first))
-    rows = rows.withColumn("fresh", F.sum((F.col("turn") == 1).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    useful = (F.col("ord") <= 2 * GRAPH_EDGE_CAP) | ((F.col("turn") == 1) & (F.col("fresh") <= 2 * GRAPH_ENTITY_CAP))
-    return rows.where(useful).select("at", "ord", "src", "rel", "dst", "provenance", "other")
+    return leading(out.unionByName(back), as_of)
+
+
+def leading(rows: DataFrame, as_of: int | None) -> DataFrame:
+    """Of the edges at each entity (``at``, ``other``, ``side``) those that the
+    caps could let in, with their place ``ord`` in its order.
+
+    A walk may hold 128 edges already and take as many more, so the first 256
+    matter; beyond them only an entity's first edge to a neighbour does, and of
+    those the first 128.  Both are the least by a key, which tasks keep for
+    themselves before anything is shuffled, so a hub's edges never meet.
+    """
+    key = F.struct("side", "rel_ord", "other", "edge_id") if as_of is None else F.struct("side", (-F.col("valid_from")).alias("a"), (-F.col("edge_id")).alias("b"))
+    rows = rows.withColumn("key", key).select("at", "key", "src", "rel", "dst", "provenance", "other")
+    least = lambda df, n: df.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("key"))).where(F.col("nth") <= n).drop("nth")
+    rest = [c for c in rows.columns if c not in ("at", "other")]
+    each = rows.groupBy("at", "other").agg(F.min_by(F.struct(*rest), "key").alias("x")).select("at", "other", "x.*").select(*rows.columns)
+    # An edge may be in both: the key tells rows apart.
+    both = least(rows, 2 * GRAPH_EDGE_CAP).unionByName(least(each, 2 * GRAPH_ENTITY_CAP)).dropDuplicates(["at", "key"])
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy("at").orderBy("key"))).drop("key")
 
 
 def walk(history: DataFrame, anchors: list[int], depth: int = 2, decay: float = 0.5, as_of: int | None = None) -> Walk:
@@ -108,12 +118,7 @@ def _steps(history: DataFrame, frontier: DataFrame, as_of: int | None) -> DataFr
     out, back = (live.withColumns({"at": F.col(near), "other": F.col(far), "side": F.lit(side)}) for near, far, side in ends)
     # Each entity's edges are put in order once, whatever queries meet there.
     asked = frontier.select(F.col("entity_id").alias("at")).distinct()
-    order = ["side", "rel_ord", "other", "edge_id"] if as_of is None else ["side", F.desc("valid_from"), F.desc("edge_id")]
-    by, same = Window.partitionBy("at").orderBy(*order), Window.partitionBy("at", "other").orderBy(*order)
-    rows = out.unionByName(back).join(asked, "at", "left_semi")
-    rows = rows.withColumns({"ord": F.row_number().over(by), "turn": F.row_number().over(same)})
-    rows = rows.withColumn("fresh", F.sum((F.col("turn") == 1).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where((F.col("ord") <= 2 * GRAPH_EDGE_CAP) | ((F.col("turn") == 1) & (F.col("fresh") <= 2 * GRAPH_ENTITY_CAP)))
+    rows = leading(out.unionByName(back).join(asked, "at", "left_semi"), as_of)
     return rows.join(frontier.withColumnRenamed("entity_id", "at"), "at").select("query_id", "at", "visit", "ord", "src", "rel", "dst", "provenance", "other")
 
 

@@ -149,9 +149,7 @@ def recall_many(facts: DataFrame, tokenised: DataFrame | tuple[DataFrame, DataFr
     parts = {BM25: lexical.top(scored.join(when, "query_id").join(clocks, "fact_id").where(live).select("query_id", "fact_id", "score"))}
     if "from_ms" in queries.columns:
         span = queries.where("from_ms is not null and to_ms is not null").select("query_id", "now", "from_ms", "to_ms")
-        w = Window.partitionBy("query_id").orderBy(F.desc("recorded_at"), F.desc("fact_id"))
-        hit = clocks.join(span, (F.col("recorded_at") >= F.col("from_ms")) & (F.col("recorded_at") < F.col("to_ms"))).where(live)
-        parts[TIME] = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SOURCE_CAP).select("query_id", "fact_id", "rank")
+        parts[TIME] = temporal.ranges_topk(clocks, span, live)
     if anchors is not None:
         visits, taken = graph.walk_many(edges, anchors, config.graph_depth, config.graph_decay)
         known = facts.select("fact_id", "entity_id", "recorded_at", "valid_from", "valid_to", "tombstone")

@@ -222,13 +222,13 @@ def vec_flat_topk(spark, d):
     return found.select("fact_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id % 50 = 0),
- sv AS (SELECT p.fact_id AS query_id, v.fact_id, v.label, round({COS}, 10) AS score FROM vq v, p QUALIFY row_number() OVER (PARTITION BY p.fact_id ORDER BY {HAM}, v.fact_id) <= 64)
- SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM sv WHERE label <> 3 QUALIFY rank <= 16""")
+@query(f"""WITH {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id % 20 = 0),
+ sv AS (SELECT p.fact_id AS query_id, v.fact_id, v.label, round({COS}, 10) AS score FROM vq v, p QUALIFY row_number() OVER (PARTITION BY p.fact_id ORDER BY {HAM}, v.fact_id) <= 512)
+ SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM sv WHERE label <> 3 QUALIFY rank <= 128""")
 def vec_flat_topk_many(spark, d):
     v = views.quantized(spark, d)
-    probes = v.where("fact_id % 50 = 0").select(F.col("fact_id").alias("query_id"), "vector")
-    return vector.flat_topk_many(v, probes, F.col("label") != 3, k=16, block=4).withColumn("score", F.round("score", 6))
+    probes = v.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "vector")
+    return vector.flat_topk_many(v, probes, F.col("label") != 3).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id = 7) SELECT v.fact_id, round({COS}, 6) AS cosine FROM vq v, p")
@@ -340,18 +340,39 @@ def budget_select(spark, d):
     return fuse.select_within(boosted(spark, d), 20, 20000).select("fact_id", "rank", F.col("spent").cast("long").alias("spent"), F.col("truncated").cast("int").alias("truncated"))
 
 
-@query(f"WITH {RRF}, {BOOST}, {PICK} SELECT fact_id, rank, round(score, 8) AS score, sources FROM pick WHERE rank <= 8 AND spent <= 20000")
+ANCHOR = "src3"
+FOUR = f"""{BM}, {VEC_SQL}, p AS (SELECT * FROM vq WHERE fact_id = 7),
+ sv AS (SELECT v.*, {HAM}::BIGINT AS ham FROM (SELECT * FROM vq WHERE fact_id IN (SELECT doc_id FROM documents)) v, p ORDER BY ham, v.fact_id LIMIT 512),
+ vt AS (SELECT v.fact_id, row_number() OVER (ORDER BY round({COS}, 10) DESC, v.fact_id) AS rank FROM sv v, p QUALIFY rank <= 128),
+ own AS (SELECT doc_id AS fact_id, 1.0 AS weight, row_number() OVER (ORDER BY doc_id) AS nth FROM documents WHERE source = '{ANCHOR}' QUALIFY nth <= 256),
+ proof AS (SELECT prov AS fact_id, 0.5 AS weight, 2048 + row_number() OVER (ORDER BY lang) AS nth FROM (SELECT lang, max(doc_id) AS prov FROM documents GROUP BY lang)
+  WHERE lang IN (SELECT lang FROM documents WHERE source = '{ANCHOR}') AND prov NOT IN (SELECT fact_id FROM own)),
+ gr AS (SELECT fact_id, row_number() OVER (ORDER BY weight DESC, fact_id) AS rank FROM (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM proof) ORDER BY nth LIMIT 256) QUALIFY rank <= 128),
+ tm AS (SELECT fact_id, row_number() OVER (ORDER BY recorded_at DESC, fact_id DESC) AS rank FROM {DOCTIME} QUALIFY rank <= 128),
+ al AS (SELECT fact_id, 1.0 / (60.0 + rank) AS part, 0 AS o, 1 AS bit FROM bmtop UNION ALL SELECT fact_id, 1.0 / (60.0 + rank), 1, 8 FROM vt
+  UNION ALL SELECT fact_id, 1.0 / (60.0 + rank), 2, 2 FROM gr UNION ALL SELECT fact_id, 1.0 / (60.0 + rank), 3, 4 FROM tm),
+ fu AS (SELECT fact_id, list_sum(list(part ORDER BY o)) AS score, bit_or(bit) AS sources FROM al GROUP BY fact_id)"""
+
+
+@query(f"WITH {FOUR}, {BOOST}, {PICK} SELECT fact_id, rank, round(score, 8) AS score, sources FROM pick WHERE rank <= 40 AND spent <= 200000")
 def recall_hybrid(spark, d):
-    f = views.document_facts(spark, d)
-    f = f.withColumns({"entity_id": F.lit(None).cast("long"), "vector": F.lit(None).cast("string")})
-    none = spark.createDataFrame([], "entity_id long, name string, norm_name string")
-    q = recall.RecallQuery(now=NOW, as_of=LATE, text=QUERY, range=(0, LATE), k=8, token_budget=20000)
-    got = recall.recall(recall.Frames(f, none, views.edge_history(spark, d), docs(spark, d)), q)
+    """Words, vectors, graph (with facts that vouch for edges) and time."""
+    e = views.read(spark, d, "documents")
+    v = views.quantized(spark, d).select("fact_id", "vector")
+    names = e.select(F.col("source").alias("name")).unionByName(e.select(F.col("lang").alias("name"))).distinct()
+    entities = names.withColumn("entity_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("long")).withColumn("norm_name", F.lower("name"))
+    ids = lambda c: entities.select(F.col("name").alias(c), F.col("entity_id").alias(f"{c}_id"))
+    f = views.document_facts(spark, d).withColumnRenamed("entity", "source").join(ids("source"), "source").withColumnRenamed("source_id", "entity_id").withColumnRenamed("source", "entity").join(v, "fact_id", "left")
+    edges = e.select("source", "lang").distinct().join(e.groupBy("lang").agg(F.max("doc_id").alias("provenance")), "lang").join(ids("source"), "source").join(ids("lang"), "lang")
+    edges = edges.select((F.col("source_id") * 1000 + F.col("lang_id")).alias("edge_id"), F.col("source_id").alias("src"), F.lit("writes").alias("rel"), F.lit(0).alias("rel_ord"), F.col("lang_id").alias("dst"), "provenance", *[F.lit(0).cast("long").alias(c) for c in ("recorded_at", "valid_from")], F.lit(OPEN).alias("valid_to"))
+    near = views.read(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]
+    q = recall.RecallQuery(now=NOW, as_of=LATE, text=QUERY, vector=list(near), entities=(ANCHOR,), graph_depth=1, range=(0, LATE), k=40, token_budget=200000)
+    got = recall.recall(recall.Frames(f, entities, edges, docs(spark, d)), q, recall.Config(dim=len(near)))
     rows = [(r["fact_id"], i + 1, round(r["score"], 8), r["sources"]) for i, r in enumerate(got.facts)]
     return spark.createDataFrame(rows, "fact_id long, rank int, score double, sources int")
 
 
-MANY = f"""{DOC}, qs AS (SELECT item_id AS query_id, list_slice({sql_tokens('text')}, 1, 8) AS terms FROM benchmark),
+MANY = f"""{DOC}, qs AS (SELECT item_id AS query_id, {sql_tokens('text')} AS terms FROM benchmark),
  qt AS (SELECT query_id, unnest(range(1, len(terms) + 1)) AS pos, unnest(terms) AS term FROM qs),
  st AS (SELECT count(*) AS n, sum(len(toks)) AS total FROM doc),
  tf AS (SELECT fact_id, len, term, least(count(*), 255) AS tf FROM (SELECT fact_id, least(len(toks), 65535) AS len, unnest(toks) AS term FROM doc) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
@@ -366,7 +387,7 @@ MANY = f"""{DOC}, qs AS (SELECT item_id AS query_id, list_slice({sql_tokens('tex
 
 @query(f"WITH {MANY} SELECT query_id, rank, fact_id, round(score, 8) AS score, 1 AS sources FROM pk WHERE rank <= 8 AND spent <= 20000")
 def recall_many(spark, d):
-    q = views.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(NOW).alias("now"), F.slice(latin_tokens(F.col("text")), 1, 8).alias("terms"))
+    q = views.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(NOW).alias("now"), latin_tokens(F.col("text")).alias("terms"))
     got = recall.recall_many(views.document_facts(spark, d), docs(spark, d), q, budget=20000)
     return got.withColumn("score", F.round("score", 8))
 
@@ -435,18 +456,27 @@ def link_unlink_replay(spark, d):
 # --- upkeep -----------------------------------------------------------------
 
 
-@query(f"""WITH {EV} SELECT 'dangling edge' AS problem, count(*) AS rows FROM orders WHERE o_custkey % 97 = 0
- UNION ALL SELECT 'catalogue', 0 UNION ALL SELECT 'interval', count(*) FROM ev WHERE valid_to < valid_from""")
+@query(f"""WITH {EV}, ct AS (SELECT tag, count(*) AS n FROM ev WHERE valid_to = {N_OPEN} GROUP BY tag), pl AS (SELECT o_custkey AS src, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
+ SELECT 'dangling edge' AS problem, count(*) AS rows FROM orders WHERE o_custkey % 97 = 0
+ UNION ALL SELECT 'open edge twice', count(*) FROM pl WHERE n > 1
+ UNION ALL SELECT 'catalogue', 2 * count(*) FROM ct WHERE tag <> 'click' UNION ALL SELECT 'interval', count(*) FROM ev WHERE valid_to < valid_from
+ UNION ALL SELECT 'id twice', count(*) FROM ev WHERE tag = 'click'""")
 def verify_violations(spark, d):
+    """Checks over tables with faults put in: customers without an entity, orders
+    that all lead to one, a catalogue that counts too many, facts twice."""
     from .plans import maintain
 
     e = views.edge_history(spark, d)
     ents = e.select(F.col("src").alias("entity_id")).unionByName(e.select(F.col("dst").alias("entity_id"))).distinct()
     customer = F.col("entity_id").between(views.CUSTOMER, views.ORDER - 1)
     seeded = ents.where(~(customer & ((F.col("entity_id") - views.CUSTOMER) % 97 == 0)))
-    placed = e.where("rel = 'placed'")
+    one = e.where("rel = 'placed'").agg(F.min("dst")).first()[0]
+    placed = e.where("rel = 'placed'").withColumn("dst", F.lit(one))
     facts = views.event_facts(spark, d)
-    return maintain.violations(facts, seeded, placed, tags.catalogue(facts)).where(F.col("problem").isin("dangling edge", "catalogue", "interval"))
+    tag = F.get("tags", F.lit(0))
+    stale = tags.catalogue(facts).withColumn("count", F.col("count") + F.when(F.col("tag") == "click", 0).otherwise(1))
+    twice = facts.unionByName(facts.where(tag == "click").withColumn("tombstone", F.lit(True)))
+    return maintain.violations(twice, seeded, placed, stale)
 
 
 @query(f"WITH {EV} SELECT tag, count(*) AS kept, sum(CASE WHEN revises IS NOT NULL THEN 1 ELSE 0 END) AS chained FROM ev WHERE fact_id % 10 <> 3 GROUP BY tag")

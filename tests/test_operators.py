@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofact.errors import Invalid, StaleCursor, TooLarge
 from chronofact.functions.vectors import cosine, quantize, quantized_literal
-from chronofact.operators import fuse, graph, lexical, predicates, similar, tags
+from chronofact.operators import fuse, graph, lexical, predicates, similar, tags, temporal, vector
 from chronofact.plans import maintain, write
 from chronofact.schema import OPEN
 
@@ -219,3 +219,46 @@ def test_violations_are_found(spark):
     ents = spark.createDataFrame([(1,)], "entity_id long")
     got = {r["problem"]: r["rows"] for r in maintain.violations(f, ents, e, tags.catalogue(f).where("false")).collect()}
     assert got == {"dangling edge": 2, "open edge twice": 1, "catalogue": 1, "interval": 1, "id twice": 1}
+
+
+def test_as_of_join_of_short_long_and_open_lives(spark):
+    rng = random.Random(21)
+    facts = []
+    for i in range(400):
+        begin, known = rng.randint(0, 3000), rng.randint(0, 3000)
+        end = rng.choice((OPEN, begin + rng.randint(0, 40), begin + rng.randint(0, 3000)))
+        facts.append((i, rng.randint(0, 5), known, begin, end, i % 11 == 0))
+    probes = [(n, rng.randint(0, 6), rng.randint(-10, 3500)) for n in range(200)]
+    f = spark.createDataFrame(facts, "fact_id long, entity_id long, recorded_at long, valid_from long, valid_to long, tombstone boolean")
+    p = spark.createDataFrame(probes, "probe long, entity_id long, t long")
+    want = sorted((e, n, t, i) for n, e, t in probes for i, x, known, begin, end, gone in facts if x == e and not gone and known <= t and begin <= t < end)
+    got = sorted(tuple(r) for r in temporal.as_of_join(f, p, width=10).select("entity_id", "probe", "t", "fact_id").collect())
+    assert got == want and len(want) > 1000
+    assert "Cartesian" not in temporal.as_of_join(f, p)._jdf.queryExecution().toString()
+
+
+def test_ranges_topk(spark):
+    rng = random.Random(22)
+    facts = [(i, rng.randint(0, 5000)) for i in range(500)]
+    asked = [(q, a := rng.randint(-500, 5500), a + rng.choice((0, 1, 30, 900, 10**13))) for q in range(30)] + [(98, -(10**15), 10**15), (99, 7, 3)]
+    got = {}
+    found = temporal.ranges_topk(spark.createDataFrame(facts, "fact_id long, recorded_at long"), spark.createDataFrame(asked, "query_id long, from_ms long, to_ms long"), F.col("fact_id") % 3 != 0, k=5)
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["fact_id"])
+    for q, a, b in asked:
+        assert got.get(q, []) == [i for _, i in sorted(((t, i) for i, t in facts if a <= t < b and i % 3), reverse=True)[:5]]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_many_vector_searches_equal_single_ones(spark):
+    rng = random.Random(23)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(70)], i % 4) for i in range(600)]
+    v = spark.createDataFrame(rows, "slot long, v array<double>, label int").select("slot", F.col("slot").alias("fact_id"), "label", quantize(F.col("v")).alias("vector"))
+    v = v.unionByName(v.where("slot < 40").withColumns({"slot": F.col("slot") + 1000, "fact_id": F.col("slot") + 1000}))  # ties
+    asked = v.where("slot % 97 = 0").select(F.col("slot").alias("query_id"), "vector", F.lit(3).alias("not_label"))
+    for block in (None, 2):
+        got = vector.flat_topk_many(v, asked, F.col("label") != F.col("not_label"), k=20, block=block).collect()
+        for q in {r["query_id"] for r in asked.collect()}:
+            one = vector.flat_topk(v, quantized_literal(rows[q][1]), F.col("label") != 3, k=20).collect()
+            assert [(r["fact_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(r["fact_id"], pytest.approx(r["score"], abs=1e-9)) for r in one]
+    assert vector.flat_topk_many(v.where("false"), asked, F.lit(True)).count() == 0 == vector.flat_topk_many(v, asked.where("false"), F.lit(True)).count()
