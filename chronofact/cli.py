@@ -12,7 +12,7 @@ import sys
 from . import settings as settings_
 from .errors import AlreadyClosed, EngineError, Locked, NoSuchDatabase, NotFound
 from .plans.memory import Memory, recover
-from .sources.embed import HashingEmbedder
+from .sources.embed import EmbedderGate, HashingEmbedder
 from .workspace import Workspace
 
 
@@ -173,8 +173,8 @@ def main(argv=None, spark=None, lines=None) -> int:
         if a.verb == "recover":
             show(recover(spark, s.database, a.dst))
             return 0
-        embedder = HashingEmbedder(s.embedder_dim) if s.embedder_dim else None
-        with Memory(spark, s.database, s.config(), embedder, read_only=getattr(a, "read_only", False)) as m:
+        embedder = EmbedderGate(HashingEmbedder(s.embedder_dim), s.embedder_policy) if s.embedder_dim else None
+        with Memory(spark, s.database, s.config(), embedder, read_only=getattr(a, "read_only", False), checkpoint_ops=s.checkpoint_ops) as m:
             if a.verb != "repl":
                 show(run(a, m, spark))
                 return 0

@@ -17,16 +17,17 @@ import uuid
 from collections import Counter
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyClosed, Corrupt, Invalid, NotFound, ReembedBusy, StorageError, TooLarge, UntrackedVectorSpace, VectorSpaceMismatch
 from ..functions.tokenizer import normalized_name, tokens, tokens_udf
 from ..functions.vectors import check_vector, quantize
-from ..operators import lexical
+from ..operators import cells, lexical
 from ..operators import tags as tag_ops
 from ..operators.predicates import current
-from ..schema import EDGE_CHANGES, EDGES, ENTITIES, FACT_CHANGES, FACTS, LENGTHS, MAX_LINKS, MAX_TAGS, OPEN, POSTINGS, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, Config
+from ..schema import CELLS, CENTRES, EDGE_CHANGES, EDGES, ENTITIES, FACT_CHANGES, FACTS, LENGTHS, MAX_LINKS, MAX_TAGS, OPEN, POSTINGS, SIMILAR_MOST, SIMILAR_RING, SPACE_ID_MAX, Config
 from ..sources import jsonl
 from ..sources.store import Store
 from . import maintain as upkeep
@@ -86,6 +87,8 @@ class Memory:
         m = self.store.manifest
         self.next_fact, self.next_entity, self.next_edge = (m.get(k, 0) for k in ("next_fact", "next_entity", "next_edge"))
         self.vector_space, self.rels = m.get("vector_space"), dict(m.get("rels", {}))
+        self.cells = m.get("cells", {"indexed": 0, "below": 0, "probes": 0})
+        self._centres = None
         self.seq, self.stream_seq = m.get("seq", 0), m.get("stream_seq", -1)
         self.held = {"entities": self.next_entity, "edges": self.next_edge}
         self.base = {t: self._stored(t) for t in SCHEMAS}
@@ -522,11 +525,41 @@ class Memory:
             out = facts.drop("vector").join(made, "fact_id", "left").withColumnRenamed("__v", "vector").select(*facts.columns)
             self.config = replace(self.config, dim=dim)
             self.vector_space = embedder.space_id
-            self._commit({}, {"facts": out, "fact_changes": self.spark.createDataFrame([], FACT_CHANGES)})
+            self.cells = {"indexed": 0, "below": 0, "probes": 0}
+            none = {t: self.spark.createDataFrame([], x) for t, x in (("fact_changes", FACT_CHANGES), ("cells", CELLS), ("centres", CENTRES))}
+            self._commit({}, {"facts": out} | none)
             return {"reembedded": self.base["facts"].where("vector is not null").count(), "dim": dim}
         finally:
             self.busy = False
 
+    def optimize_vectors(self) -> bool:
+        """File the vectors under cells if they are ``flat_to_hnsw`` or more and
+        some are not filed; whether it did."""
+        v = self.base["facts"].where("vector is not null").select(F.col("fact_id").alias("slot"), "vector")
+        n = v.count()
+        if n < max(1, self.config.flat_to_hnsw) or (self.cells["indexed"] == n and self.cells["below"] == self.next_fact):
+            return False
+        path = self.store.staging("vectors")
+        v.write.parquet(path)
+        v = self.spark.read.schema(v.schema).parquet(path)
+        centres = cells.fit(v)
+        path = self.store.staging("cells")
+        cells.filed(v, centres).write.parquet(path)
+        index = self.spark.read.schema(CELLS).parquet(path)
+        self.cells = {"indexed": n, "below": self.next_fact, "probes": cells.calibrate(index, centres)}
+        rows = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], CENTRES)  # at most MOST_CELLS
+        self._commit({}, {"cells": index.repartition("cell"), "centres": rows})
+        return True
+
+    def _nearest(self) -> recalls.CellIndex | None:
+        """The vector index, if there is one; vectors that came since are told
+        apart by their ids."""
+        if not self.cells["indexed"]:
+            return None
+        if self._centres is None:
+            self._centres = np.array([r["centre"] for r in self.store.table("centres").orderBy("cell").collect()], np.float32)
+        return recalls.CellIndex(self.store.table("cells"), self._centres, self.cells["probes"], self.cells["below"])
+
     # Reading ----------------------------------------------------------------
 
     def recall(self, text: str | None = None, now: int | None = None, vector=None, **q) -> recalls.RecallResult:
@@ -535,7 +568,7 @@ class Memory:
             vector = made[0] if made else None
         q = {k: tuple(v) if isinstance(v, list) else v for k, v in q.items()}
         query = recalls.RecallQuery(now=now_ms() if now is None else now, text=text, vector=vector, **q)
-        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, postings=self.postings, lengths=self.lengths), query, self.config)
+        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, postings=self.postings, lengths=self.lengths, cells=self._nearest()), query, self.config)
 
     def get(self, fact_id: int) -> dict | None:
         try:
@@ -566,7 +599,7 @@ class Memory:
         terms = self.postings.select("term").distinct().count()
         return {
             "facts": row["facts"], "entities": self.entities.count(), "terms": terms, "edges": e.where(F.col("valid_to") == OPEN).count(), "edge_versions": e.count(),
-            "vectors": f.where("vector is not null").count(), "tombstones": row["tombstones"], "hnsw_indexed": 0,
+            "vectors": f.where("vector is not null").count(), "tombstones": row["tombstones"], "hnsw_indexed": self.cells["indexed"],
             "next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "db_uuid": self.config.db_uuid,
         }
 
@@ -636,7 +669,7 @@ class Memory:
             replaced |= {"lengths": lengths, "postings": rows}
         state = {
             "next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "vector_space": self.vector_space, "rels": self.rels, "config": self.config.to_dict(),
-            "seq": self.seq, "stream_seq": self.stream_seq,
+            "seq": self.seq, "stream_seq": self.stream_seq, "cells": self.cells,
         }
         self.store.commit(added, replaced, state)
         self._load()
@@ -683,13 +716,17 @@ class Memory:
         apart = self._folders() > 1 or any(self.store.folders.get(t) for t in ("fact_changes", "edge_changes"))
         edges = mode != "auto" and (len(self.store.folders.get("edges", ())) > 1 or bool(self.store.folders.get("edge_changes")))
         idle = not anew and not before["tombstones"] and not (apart and mode != "auto")
-        if not idle:
+        filed = self.cells["indexed"]
+        if not idle and mode != "optimize_vectors":
             self._merge(upkeep.purge(self.base["facts"]), anew)
+        else:
+            idle = True
+        rebuilt = mode != "reindex_text" and self.optimize_vectors()
         after = before if idle else counts(self.base["facts"])
         return {
-            "purged": 0 if idle else before["tombstones"], "no_op": idle, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after["facts"],
-            "vectors_before": before["vectors"], "vectors_after": after["vectors"], "hnsw_indexed_before": 0, "hnsw_indexed_after": 0,
-            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew, "hnsw_rebuilt": False, "edges_compacted": not idle and edges,
+            "purged": 0 if idle else before["tombstones"], "no_op": idle and not rebuilt, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after["facts"],
+            "vectors_before": before["vectors"], "vectors_after": after["vectors"], "hnsw_indexed_before": filed, "hnsw_indexed_after": self.cells["indexed"],
+            "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew and not idle, "hnsw_rebuilt": rebuilt, "edges_compacted": not idle and edges,
             "generation": self.generation, "folders": self._folders(),
         }
 

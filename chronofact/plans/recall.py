@@ -6,12 +6,13 @@ table of text queries at once, every step keyed by the query.
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenizer import normalized_name, tokens
-from ..functions.vectors import check_vector, quantized_literal
-from ..operators import fuse, graph, lexical, temporal, vector
+from ..functions.vectors import check_vector, cosine, quantized_literal
+from ..operators import cells, fuse, graph, lexical, temporal, vector
 from ..operators.predicates import admit, has_tags
 from ..schema import BM25, BUDGET_DEFAULT, GRAPH, K_DEFAULT, K_MAX, SOURCE_CAP, TIME, VEC, Config
 
@@ -28,7 +29,7 @@ class RecallQuery:
     k: int = K_DEFAULT
     token_budget: int | None = None
     include_closed: bool = False
-    ef: int | None = None  # accepted for callers' sake: search here is exact
+    ef: int | None = None  # more looks into more cells of the vector index
     graph_depth: int | None = None
 
 
@@ -51,6 +52,34 @@ class Frames:
     tokenised: DataFrame | None = None
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    cells: "CellIndex | None" = None
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors by cell, the cells' centres, how many a query looks into, and the
+    first id that may not be filed."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    probes: int
+    below: int
+
+
+#: ``ef`` of a query that looks into as many cells as were measured to be needed.
+EF = 64
+
+
+def near_in_cells(frames: Frames, q: RecallQuery, admitted, v) -> DataFrame:
+    """(fact_id, score): the nearest by the index and, exactly, of what came since;
+    ranked first, then admitted."""
+    x = frames.cells
+    probes = min(len(x.centres), -(-x.probes * (q.ef or EF) // EF))
+    asked = frames.facts.sparkSession.range(1).select(F.col("id").alias("query_id"), v.alias("vector"))
+    found = cells.search(x.rows, x.centres, asked, probes, 4 * SOURCE_CAP).select(F.col("slot").alias("fact_id"), "score")
+    late = frames.facts.where((F.col("fact_id") >= x.below) & F.col("vector").isNotNull()).select("fact_id", F.round(cosine(F.col("vector"), v), 10).alias("score"))
+    late = late.orderBy(F.desc("score"), "fact_id").limit(4 * SOURCE_CAP)
+    return found.unionByName(late).join(frames.facts.where(admitted).select("fact_id"), "fact_id", "left_semi")
 
 
 def query_terms(spark: SparkSession, queries: dict) -> DataFrame:
@@ -78,8 +107,11 @@ def sources(frames: Frames, q: RecallQuery, config: Config) -> tuple[dict[int, D
         out[BM25] = lexical.top_one(scored.join(live, "fact_id", "left_semi"))
     if q.vector is not None:
         v = quantized_literal(check_vector(q.vector, config.dim))
-        slots = facts.where("vector is not null").withColumn("slot", F.col("fact_id"))
-        out[VEC] = one(vector.flat_topk(slots, v, admitted), "score")
+        if frames.cells is not None:
+            out[VEC] = one(near_in_cells(frames, q, admitted, v), "score")
+        else:
+            slots = facts.where("vector is not null").withColumn("slot", F.col("fact_id"))
+            out[VEC] = one(vector.flat_topk(slots, v, admitted), "score")
     if q.entities:
         names = list(dict.fromkeys(n for e in q.entities if (n := normalized_name(e))))
         ids = {r["norm_name"]: r["entity_id"] for r in frames.entities.where(F.col("norm_name").isin(names)).collect()}

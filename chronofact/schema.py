@@ -13,6 +13,9 @@ FACTS = (
 )
 LENGTHS = "fact_id long, n long"
 POSTINGS = "term string, fact_id long, tf int, len int, bucket int"
+# The vector index: every vector under its cell, and the cells' centres.
+CELLS = "slot long, vector struct<scale:double,q:array<tinyint>,sig:array<long>>, cell int"
+CENTRES = "cell int, centre array<float>"
 #: Folders that a store's postings are kept in, by a hash of the term.
 BUCKETS = 16
 ENTITIES = "entity_id long, name string, norm_name string, created_at long"

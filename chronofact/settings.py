@@ -22,6 +22,13 @@ class Settings:
     engine: dict = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
+    def checked(self) -> "Settings":
+        if self.embedder_policy not in ("fail", "degrade"):
+            raise Invalid(f"embedder_policy = {self.embedder_policy!r}")
+        if self.checkpoint_ops < 1:
+            raise Invalid(f"checkpoint_ops = {self.checkpoint_ops}")
+        return self
+
     def config(self) -> Config:
         return Config.from_dict(self.engine)
 
@@ -48,4 +55,4 @@ def load(flags: dict | None = None, config_path: str | None = None, environ=os.e
             setattr(out, name, kind(v))
         if flags and flags.get(name) is not None:
             setattr(out, name, flags[name])
-    return out
+    return out.checked()

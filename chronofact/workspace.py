@@ -7,11 +7,15 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .errors import AtCapacity, BadName, InUse, NoSuchDatabase
+from .operators.predicates import current
 from .plans.memory import Memory
 from .schema import Config
 
+#: The entity under which a store may describe itself.
+SELF = "self"
 NAME_MAX, OPEN_MAX, IDLE_SECONDS = 64, 16, 60.0
 # Names that some file systems keep for devices.
 DEVICES = {"con", "prn", "aux", "nul"} | {f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10)}
@@ -129,7 +133,14 @@ class Workspace:
             if n not in names:
                 out.append({"name": n, "issue": "undescribed"})
             try:
-                self.get(n).verify()
+                m = self.get(n)
+                own = m.facts.where(current() & (F.col("entity") == SELF)).orderBy("fact_id").limit(2).collect()
+                said = next((e["text"] for e in self.entries() if e["name"] == n), None)
+                if len(own) > 1:
+                    out.append({"name": n, "issue": "ambiguous self", "facts": m.facts.where(current() & (F.col("entity") == SELF)).count()})
+                elif own and said is not None and own[0]["text"] != said:
+                    out.append({"name": n, "issue": "stale"})
+                m.verify()
             except Exception as e:
                 out.append({"name": n, "issue": f"unreadable: {e}"})
         return out

@@ -1,5 +1,7 @@
 import json
+import os
 
+import numpy as np
 import pytest
 
 from chronofact.errors import AlreadyClosed, Corrupt, DimMismatch, Invalid, Locked, NeedsCheckpoint, NotFound, StorageError, TooLarge, VectorSpaceMismatch
@@ -326,6 +328,47 @@ def test_recall_many_equals_single_recalls(spark, tmp_path):
             assert [x["score"] for x in got if x["query_id"] == i] == pytest.approx([f["score"] for f in one.facts], abs=1e-8)
 
 
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    near = lambda i: (centres[i % 12] + 0.3 * rng.normal(size=16)).tolist()
+    with Memory(spark, str(tmp_path / "m"), Config(dim=16, flat_to_hnsw=200)) as m:
+        flat = {}
+        m.remember_many([{"text": f"n{i}", "vector": near(i), "now": i} for i in range(400)])
+        asked = [near(i) for i in range(6)]
+        for n, v in enumerate(asked):
+            flat[n] = ids(m.recall(vector=v, now=10**6, k=10, token_budget=10**6))
+        got = m.maintain("optimize_vectors")
+        assert got["hnsw_rebuilt"] and got["hnsw_indexed_after"] == 400 == m.stats()["hnsw_indexed"] and not got["no_op"]
+        assert m.maintain("optimize_vectors")["no_op"] and 1 <= m.cells["probes"] < len(m._nearest().centres) == 20
+        for n, v in enumerate(asked):
+            assert len(set(ids(m.recall(vector=v, now=10**6, k=10, token_budget=10**6))) & set(flat[n])) >= 9
+        late = m.remember("late", vector=asked[0], now=500)["id"]
+        m.forget(flat[0][0])
+        assert ids(m.recall(vector=asked[0], now=10**6, k=3))[0] == late and flat[0][0] not in ids(m.recall(vector=asked[0], now=10**6))
+        assert ids(m.recall(vector=asked[0], now=10**6, ef=10**6, k=10, token_budget=10**6))[1:] == flat[0][1:10]
+        assert m.maintain("full")["hnsw_indexed_after"] == 400
+        m.verify()
+
+
+def test_recall_of_cells(spark):
+    from chronofact.operators import cells
+    from chronofact.plans import views
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    v = views.quantized(spark, folder).select("slot", "fact_id", "vector")
+    centres = cells.fit(v)
+    index = cells.filed(v, centres).cache()
+    probes = cells.calibrate(index, centres)
+    asked = v.where("slot % 20 = 0").select(v.slot.alias("query_id"), "vector")
+    exact, found = ({(r["query_id"], r["slot"]) for r in cells.search(index, centres, asked, n).collect()} for n in (len(centres), probes))
+    assert index.count() == v.count() and len(exact) == 10 * asked.count()
+    print("cells", len(centres), "looked into", probes, "recall", len(exact & found) / len(exact))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_embedder_policy():
     class Broken:
         dim, space_id = 1, "b"

@@ -44,6 +44,19 @@ def test_cli_workspace(spark, tmp_path, capsys):
     assert cli.main([*w, "archive", "notes"], spark) == 0 and cli.main([*w, "archive", "notes"], spark) == 1
 
 
+def test_workspace_issues(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path))
+    w.describe("a", "about rivers")
+    w.describe("b", "about hills")
+    w.describe("c", "gone")
+    w.get("a").remember("about lakes", entity="self")
+    for text in ("about hills", "about dales"):
+        w.get("b").remember(text, entity="self")
+    w.get("d").remember("x")
+    assert {(i["name"], i["issue"]) for i in w.verify()} == {("a", "stale"), ("b", "ambiguous self"), ("c", "missing"), ("d", "undescribed")}
+    w.close_all()
+
+
 def test_names():
     for bad in ("", "A", "-a", "con", "lpt1", "a.b", "x" * 65):
         with pytest.raises(BadName):
@@ -80,6 +93,10 @@ def test_settings(tmp_path):
     assert settings.load({"database": "flag"}, str(f), {"CHRONOFACT_DATABASE": "env"}).database == "flag"
     with pytest.raises(Invalid):
         settings.load({}, str(tmp_path / "none.toml"), {})
+    for bad in ({"CHRONOFACT_EMBEDDER_POLICY": "shrug"}, {"CHRONOFACT_CHECKPOINT_OPS": "0"}):
+        with pytest.raises(Invalid):
+            settings.load({}, str(f), bad)
+    assert settings.load({}, str(f), {"CHRONOFACT_CHECKPOINT_OPS": "5"}).checkpoint_ops == 5
     with pytest.raises(Invalid):
         Config(bm25_b=2).validate()
     assert Config(rrf_k=5).reconciled(Config(dim=4)).dim == 4
