@@ -479,7 +479,9 @@ class Memory:
         before = self.next_fact
         self.next_fact += seen["n"]
         self.next_entity += made.count()
-        self._commit({"facts": new, "entities": made}, n=seen["n"])
+        path = self.store.staging("facts")
+        new.write.parquet(path)
+        self._commit({"facts": path, "entities": made}, n=seen["n"])
         return before
 
     # Vector spaces ----------------------------------------------------------
@@ -649,7 +651,7 @@ class Memory:
 
     # Upkeep -----------------------------------------------------------------
 
-    def _commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, n: int = 0, reindex: bool = False):
+    def _commit(self, added: dict[str, DataFrame | str], replaced: dict[str, DataFrame] | None = None, n: int = 0, reindex: bool = False):
         """Write the next generation.  ``added`` facts, ``n`` or so, are indexed by
         one pass over their texts; ``replaced`` ones keep the postings they have,
         by a semi-join, unless they are to be indexed anew."""
@@ -657,7 +659,8 @@ class Memory:
             raise StorageError("this handle only reads")
         added, replaced = dict(added), dict(replaced or {})
         if "facts" in added:
-            lengths, rows = self._index(added["facts"], n)
+            facts = added["facts"]
+            lengths, rows = self._index(self.spark.read.schema(FACTS).parquet(facts) if isinstance(facts, str) else facts, n)
             added |= {"lengths": lengths, "postings": rows}
         if "facts" in replaced:
             ids = replaced["facts"].select("fact_id")
