@@ -174,7 +174,7 @@ def main(argv=None, spark=None, lines=None) -> int:
             show(recover(spark, s.database, a.dst))
             return 0
         embedder = EmbedderGate(HashingEmbedder(s.embedder_dim), s.embedder_policy) if s.embedder_dim else None
-        with Memory(spark, s.database, s.config(), embedder, read_only=getattr(a, "read_only", False), checkpoint_ops=s.checkpoint_ops) as m:
+        with Memory(spark, s.database, s.config(), embedder, read_only=getattr(a, "read_only", False), checkpoint_ops=s.checkpoint_ops, maintain_forgets=s.maintain_forgets) as m:
             if a.verb != "repl":
                 show(run(a, m, spark))
                 return 0

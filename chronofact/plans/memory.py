@@ -61,8 +61,8 @@ def similarity(a: dict | None, b: dict | None) -> float:
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), embedder=None, read_only: bool = False, checkpoint_ops: int = 1024):
-        self.checkpoint_ops, self.mark = checkpoint_ops, None
+    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), embedder=None, read_only: bool = False, checkpoint_ops: int = 1024, maintain_forgets: int = 0):
+        self.checkpoint_ops, self.maintain_forgets, self.forgets, self.mark = checkpoint_ops, maintain_forgets, 0, None
         self.spark, self.store, self.embedder = spark, Store(spark, path, read_only), embedder
         try:
             stored = self.store.config()
@@ -291,7 +291,10 @@ class Memory:
                 op["stream"] = self.mark
             self._apply(op)
         self.store.append(list(ops))
-        if self.pending >= self.checkpoint_ops or self.store.log_size() >= AUTO_BYTES:
+        self.forgets += sum(op["op"] == "forget" for op in ops)
+        if self.maintain_forgets and self.forgets >= self.maintain_forgets:
+            self.maintain()
+        elif self.pending >= self.checkpoint_ops or self.store.log_size() >= AUTO_BYTES:
             self.checkpoint()
 
     # Write verbs ------------------------------------------------------------
@@ -597,17 +600,27 @@ class Memory:
 
     def stats(self) -> dict:
         f, e = self._table("facts"), self.edges
-        row = upkeep.counters(f).first()
+        row, sizes = upkeep.counters(f).first(), self.store.sizes()
         terms = self.postings.select("term").distinct().count()
         return {
             "facts": row["facts"], "entities": self.entities.count(), "terms": terms, "edges": e.where(F.col("valid_to") == OPEN).count(), "edge_versions": e.count(),
             "vectors": f.where("vector is not null").count(), "tombstones": row["tombstones"], "hnsw_indexed": self.cells["indexed"],
             "next_fact": self.next_fact, "next_entity": self.next_entity, "next_edge": self.next_edge, "db_uuid": self.config.db_uuid,
+            "pool_bytes": sum(b for _, b in sizes.values()), "shards": {t: n for t, (n, _) in sizes.items()},
         }
 
     def export(self) -> DataFrame:
         return self.facts.where(current()).orderBy("fact_id")
 
+    def export_each(self, visit) -> int:
+        """``visit(fact)`` for each current fact in order of id, one partition of
+        them at a time on the driver; how many."""
+        n = 0
+        for row in self.export().toLocalIterator():
+            visit(row.asDict(recursive=True))
+            n += 1
+        return n
+
     def export_page(self, cursor: int | None = None, limit: int = 1000) -> dict:
         """Current facts among the next ``limit`` ids, and where to go on."""
         at = cursor or 0
@@ -713,6 +726,9 @@ class Memory:
         if mode not in ("auto", "compact", "reindex_text", "optimize_vectors", "full"):
             raise Invalid(f"maintain mode {mode!r}")
         self.checkpoint()
+        self.forgets = 0
+        sizes, pool = self.store.sizes(), lambda sizes: sum(b for _, b in sizes.values())
+        edges_now = self.base["edges"].agg(F.count_if(F.col("valid_to") == OPEN).alias("open"), F.count("*").alias("all")).first()
         counts = lambda f: f.agg(F.count("*").alias("facts"), F.count_if("tombstone").alias("tombstones"), F.count("vector").alias("vectors")).first()
         before = counts(self.base["facts"])
         anew = mode in ("full", "reindex_text")
@@ -730,6 +746,8 @@ class Memory:
             "purged": 0 if idle else before["tombstones"], "no_op": idle and not rebuilt, "tombstones_before": before["tombstones"], "facts_before": before["facts"], "facts_after": after["facts"],
             "vectors_before": before["vectors"], "vectors_after": after["vectors"], "hnsw_indexed_before": filed, "hnsw_indexed_after": self.cells["indexed"],
             "structural_compacted": not idle, "bm25_compacted": not idle, "bm25_reindexed": anew and not idle, "hnsw_rebuilt": rebuilt, "edges_compacted": not idle and edges,
+            "hnsw_remapped": False, "hnsw_inserted": self.cells["indexed"] if rebuilt else 0, "edges_before": edges_now["open"], "edge_versions_before": edges_now["all"],
+            "bytes_before": pool(sizes), "bytes_after": pool(self.store.sizes()), "shards_before": {t: n for t, (n, _) in sizes.items()}, "shards_after": {t: n for t, (n, _) in self.store.sizes().items()},
             "generation": self.generation, "folders": self._folders(),
         }
 

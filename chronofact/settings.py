@@ -19,6 +19,7 @@ class Settings:
     embedder_dim: int = 0
     embedder_policy: str = "fail"
     checkpoint_ops: int = 1024
+    maintain_forgets: int = 0
     engine: dict = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 

@@ -209,6 +209,18 @@ def test_generations_add_folders_until_they_are_merged(spark, tmp_path):
         assert ids(m.recall("ledger anew line", 100)) == found
 
 
+def test_forgetting_often_enough_maintains(spark, tmp_path):
+    with Memory(spark, str(tmp_path / "m"), maintain_forgets=2) as m:
+        m.remember_many([{"text": f"t{i}", "entity": "E", "links": [("r", f"F{i}")]} for i in range(5)])
+        m.forget(0)
+        assert m.stats()["tombstones"] == 1 and m.generation == 0
+        m.forget(3)
+        got = m.stats()
+        assert (got["tombstones"], got["facts"], got["next_fact"]) == (0, 3, 5) and got["pool_bytes"] > 0 and got["shards"]["facts"] >= 1
+        report = m.maintain("full")
+        assert report["edges_before"] == report["edge_versions_before"] == 5 and report["bytes_before"] > 0 < report["bytes_after"]
+
+
 def test_pins_of_dead_processes_do_not_count(spark, tmp_path):
     import socket
     import subprocess
@@ -406,6 +418,8 @@ def test_jsonl_round_trip(spark, tmp_path, memory):
 def test_recover_and_pages(spark, tmp_path, memory):
     assert [f["fact_id"] for f in memory.export_page(1, 2)["facts"]] == [1, 2]
     assert memory.export_page(3, 2)["next_cursor"] is None
+    seen = []
+    assert memory.export_each(lambda f: seen.append((f["fact_id"], f["entity"]))) == 4 and seen == [(0, "Marta"), (1, "Marta"), (2, "Old Mill"), (3, None)]
     memory.checkpoint()
     got = recover(spark, str(memory.store.path), str(tmp_path / "new"))
     assert got == {"kept": 4, "dropped_text": 0, "dropped_vector": 0, "dropped_metadata": 0}
