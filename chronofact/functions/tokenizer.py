@@ -68,12 +68,14 @@ _UNDER = "".join(_base(c.lower()) for c in _WITH)
 # character in every form, ASCII, and the quotes and dashes of Latin prose.
 _LATIN = re.compile(r"[\t\n\r\x20-\x7eßæøœ" + _WITH + r"ÆØŒ«»¿¡–—‘’“”]*")
 _LATIN_FOLD = str.maketrans(_WITH, _UNDER)
-_LATIN_RUN = re.compile(r"(?:[^\W]+(?:(?<=[^\W\d_])['’.](?=[^\W\d_])|(?<=\d)[.,](?=\d))?)+")
+_LATIN_RUN = re.compile(r"\w+(?:(?:['’.](?<=[^\W\d_].)(?=[^\W\d_])|[.,](?<=\d.)(?=\d))\w+)*")
 
 
 def _latin(text: str) -> list[str]:
     """``tokens`` of a text that ``_LATIN`` fits."""
-    found = _LATIN_RUN.findall((text if text.isascii() else text.translate(_LATIN_FOLD)).lower())
+    found = _LATIN_RUN.findall(text.lower())
+    if not text.isascii():  # a letter stands for one letter, so runs stay as they are
+        found = [t if t.isascii() else t.translate(_LATIN_FOLD) for t in found]
     if "_" in text:
         found = [t for w in found if (t := w.strip("_"))]
     return [t if len(t) <= MAX_TOKEN_BYTES // 2 else t if len(t.encode()) <= MAX_TOKEN_BYTES else _cut(t) for t in found]
@@ -113,8 +115,11 @@ def tokens_udf(search: bool = True):
 
 def latin_tokens(text: Column) -> Column:
     """``tokens`` for composed Latin text, as built-in functions: array<string>."""
-    low = F.translate(F.lower(F.translate(text, _WITH, _UNDER)), "­", "")
-    found = F.regexp_extract_all(low, F.lit(r"((?:[\p{L}\p{N}_]++(?:(?<=\p{L})['’.](?=\p{L})|(?<=\p{Nd})[.,](?=\p{Nd}))?+)++)"), 1)
+    low = F.translate(F.lower(text), "­", "")
+    found = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]++(?:(?:['’.](?<=\p{L}.)(?=\p{L})|[.,](?<=\p{Nd}.)(?=\p{Nd}))[\p{L}\p{N}_]++)*+)"), 1)
+    # A letter stands for one letter, so runs stay as they are.
+    bare = lambda t: F.when(F.octet_length(t) > F.char_length(t), F.translate(t, _WITH, _UNDER)).otherwise(t)
+    found = F.when(F.octet_length(low) > F.char_length(low), F.transform(found, bare)).otherwise(found)
     bare = F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("_"))), lambda t: t != "")
     found = F.when(F.contains(low, F.lit("_")), bare).otherwise(found)
     cut = F.transform(found, lambda t: F.when(F.octet_length(t) > MAX_TOKEN_BYTES, F.substring(t, 1, MAX_TOKEN_BYTES)).otherwise(t))

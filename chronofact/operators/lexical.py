@@ -15,6 +15,8 @@ from ..schema import BUCKETS, SOURCE_CAP, STOP_DF_DIVISOR, STOP_DF_FLOOR
 
 #: Rows of a table of query terms, up to which it is broadcast.
 SMALL_QUERY = 200_000
+#: Bytes, by Spark's estimate, up to which a table is dealt over all cores first.
+SMALL_TABLE = 256 << 20
 
 
 def tokenised(facts: DataFrame, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -46,6 +48,13 @@ def counted(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["fact_id", "n", "terms", "tf"])
 
 
+def spread(facts: DataFrame) -> DataFrame:
+    """A small table's rows dealt over all cores, as it comes in few row groups;
+    a large one as it is."""
+    size = int(str(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return facts.repartition(facts.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else facts
+
+
 def indexed(facts: DataFrame) -> DataFrame:
     """(fact_id, n, terms, tf): what a store keeps of each fact's text."""
     return facts.select("fact_id", "text").mapInArrow(counted, "fact_id long, n long, terms array<string>, tf array<int>")

@@ -68,7 +68,14 @@ ED = f"""ed AS (SELECT n_nationkey + 100 AS edge_id, n_nationkey + 100 AS src, '
 
 
 def docs(spark, d) -> DataFrame:
-    return lexical.tokenised(views.document_facts(spark, d), latin_tokens)
+    """Documents tokenised by built-in functions."""
+    return lexical.tokenised(lexical.spread(views.document_facts(spark, d).select("fact_id", "text")), latin_tokens)
+
+
+def index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the documents, as a store makes them."""
+    made = lexical.indexed(lexical.spread(views.document_facts(spark, d).select("fact_id", "text")))
+    return lexical.stored_postings(made), made.select("fact_id", "n")
 
 
 def terms(spark) -> DataFrame:
@@ -163,7 +170,7 @@ def doc_stats(spark, d):
 
 @query(f"WITH {DOC} SELECT term, fact_id, least(count(*), 255) AS tf FROM (SELECT fact_id, unnest(toks) AS term FROM doc) GROUP BY ALL")
 def postings(spark, d):
-    return lexical.postings(docs(spark, d))
+    return index(spark, d)[0].select("term", "fact_id", "tf")
 
 
 @query(f"WITH {BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
@@ -182,14 +189,15 @@ def stop_terms(spark, d):
 
 @query(f"WITH {BM} SELECT fact_id, round(score, 6) AS score, rank FROM bmtop")
 def bm25_topk(spark, d):
-    return lexical.top(lexical.bm25(docs(spark, d), terms(spark))).select("fact_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.top(lexical.bm25_of_postings(*index(spark, d), terms(spark))).select("fact_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {BM} SELECT fact_id, round(score, 6) AS score, rank FROM bmtop")
 def bm25_single_query(spark, d):
     from .functions.tokenizer import tokens
 
-    return lexical.top_one(lexical.bm25_one(docs(spark, d), tokens(QUERY))).select("fact_id", F.round("score", 6).alias("score"), "rank")
+    postings, lengths = index(spark, d)
+    return lexical.top_one(lexical.bm25_stored(postings, lengths, tokens(QUERY))).select("fact_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- vectors ----------------------------------------------------------------
@@ -330,7 +338,7 @@ def parts(spark, d):
     q = F.lit(0).cast("long").alias("query_id")
     w = Window.orderBy(F.desc("recorded_at"), F.desc("fact_id"))
     late = temporal.range_topk(views.document_facts(spark, d), 0, LATE, predicates.admit(LATE))
-    return {BM25: lexical.top(lexical.bm25(docs(spark, d), terms(spark))), TIME: late.select(q, "fact_id", F.row_number().over(w).alias("rank"))}
+    return {BM25: lexical.top(lexical.bm25_of_postings(*index(spark, d), terms(spark))), TIME: late.select(q, "fact_id", F.row_number().over(w).alias("rank"))}
 
 
 @query(f"WITH {RRF} SELECT fact_id, round(score, 8) AS score, sources FROM fu")
@@ -379,7 +387,8 @@ def recall_hybrid(spark, d):
     edges = edges.select((F.col("source_id") * 1000 + F.col("lang_id")).alias("edge_id"), F.col("source_id").alias("src"), F.lit("writes").alias("rel"), F.lit(0).alias("rel_ord"), F.col("lang_id").alias("dst"), "provenance", *[F.lit(0).cast("long").alias(c) for c in ("recorded_at", "valid_from")], F.lit(OPEN).alias("valid_to"))
     near = views.read(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]
     q = recall.RecallQuery(now=NOW, as_of=LATE, text=QUERY, vector=list(near), entities=(ANCHOR,), graph_depth=1, range=(0, LATE), k=40, token_budget=200000)
-    got = recall.recall(recall.Frames(f, entities, edges, docs(spark, d)), q, recall.Config(dim=len(near)))
+    postings, lengths = index(spark, d)
+    got = recall.recall(recall.Frames(f, entities, edges, postings=postings, lengths=lengths), q, recall.Config(dim=len(near)))
     rows = [(r["fact_id"], i + 1, round(r["score"], 8), r["sources"]) for i, r in enumerate(got.facts)]
     return spark.createDataFrame(rows, "fact_id long, rank int, score double, sources int")
 
@@ -400,7 +409,7 @@ MANY = f"""{DOC}, qs AS (SELECT item_id AS query_id, {sql_tokens('text')} AS ter
 @query(f"WITH {MANY} SELECT query_id, rank, fact_id, round(score, 8) AS score, 1 AS sources FROM pk WHERE rank <= 8 AND spent <= 20000")
 def recall_many(spark, d):
     q = views.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(NOW).alias("now"), latin_tokens(F.col("text")).alias("terms"))
-    got = recall.recall_many(views.document_facts(spark, d), docs(spark, d), q, budget=20000)
+    got = recall.recall_many(views.document_facts(spark, d), index(spark, d), q, budget=20000)
     return got.withColumn("score", F.round("score", 8))
 
 
