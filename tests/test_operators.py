@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofact.errors import Invalid, StaleCursor, TooLarge
 from chronofact.functions.vectors import cosine, quantize, quantized_literal
-from chronofact.operators import fuse, graph, lexical, predicates, similar, tags, temporal, vector
+from chronofact.operators import fuse, graph, lexical, number, predicates, similar, tags, temporal, vector
 from chronofact.plans import maintain, write
 from chronofact.schema import OPEN
 
@@ -262,3 +262,17 @@ def test_many_vector_searches_equal_single_ones(spark):
             one = vector.flat_topk(v, quantized_literal(rows[q][1]), F.col("label") != 3, k=20).collect()
             assert [(r["fact_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(r["fact_id"], pytest.approx(r["score"], abs=1e-9)) for r in one]
     assert vector.flat_topk_many(v.where("false"), asked, F.lit(True)).count() == 0 == vector.flat_topk_many(v, asked.where("false"), F.lit(True)).count()
+
+
+def test_numbering(spark, monkeypatch):
+    rng = random.Random(24)
+    values = [rng.choice((rng.randint(-50, 50), rng.randint(-(10**12), 10**12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "at long, i long")
+    for size in (20_000, 1):
+        monkeypatch.setattr(number, "ROWS_A_RANGE", size)
+        got = {r["i"]: r["n"] for r in number.numbered(rows, ["at", "i"], "n", 7).collect()}
+        assert [got[i] for _, i in sorted((v, i) for i, v in enumerate(values))] == list(range(7, 3007))
+    assert number.numbered(rows.where("false"), ["at", "i"], "n", 0).count() == 0
+    marks = sorted({rng.randint(0, 400) for _ in range(100)})
+    probes = spark.range(-5, 410).select("id", number.range_of(F.col("id"), marks).alias("r")).collect()
+    assert all(r["r"] == sum(m <= r["id"] for m in marks) for r in probes)
