@@ -12,11 +12,13 @@ Kinds, in the order used to break ties: assign, access, hex, github, npm.
 import binascii
 import re
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._text import byte_class, slices
 
@@ -141,22 +143,21 @@ def redacted(text, spans, mark="[SECRET]"):
     return "".join(out) + text[at:]
 
 
-def _redact(batches):
-    scanner = Scanner()
-    for b in batches:
-        i, k = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
-        texts = [None if (t := x.as_py()) is None else redacted(t, spans) for x, spans in zip(b.column(i), scanner.column(b.column(i)))]
-        cols = list(b.columns)
-        cols[i] = pa.array(texts, b.schema.field(i).type)
-        if k >= 0:
-            cols[k] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column(k).to_pylist())], b.schema.field(k).type)
-        yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in ``text`` masked and ``n_chars`` brought up to date.
 
-    No row goes; a null text stays null.
+    No row goes; a null text stays null, with the ``n_chars`` it has.  Python
+    gives back the texts that it changes, and nulls for the others.
     """
-    return docs.mapInArrow(_redact, docs.schema)
 
+    @F.arrow_udf("string")
+    def changed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = Scanner()
+        for column in texts:
+            yield pa.array([redacted(t.as_py(), spans) if spans else None for t, spans in zip(column, scanner.column(column))], pa.string())
+
+    out = docs.withColumn("text", F.coalesce(changed(docs["text"]), docs["text"]))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -12,6 +12,7 @@ Scoring is one pass over the texts without a shuffle.
 """
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +213,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without rows that score ``threshold`` or more; all columns stay.
+    Python gets the texts and gives back flags, so rows stay where they are."""
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = Features(model.learnt)
-        for b in batches:
-            p = [model.score(features.of(data, offs)) for _, data, offs in slices(b.column("text"))]
-            yield b.filter(pa.array(np.concatenate(p) < threshold if p else np.zeros(0, bool)))
+        for column in texts:
+            p = [model.score(features.of(data, offs)) for _, data, offs in slices(column)]
+            yield pa.array(np.concatenate(p) < threshold if p else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(docs["text"]))
