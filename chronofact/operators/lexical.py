@@ -66,14 +66,20 @@ def stored_postings(index: DataFrame) -> DataFrame:
     return rows.select(F.col("x.terms").alias("term"), "fact_id", F.col("x.tf").alias("tf"), "len", bucket(F.col("x.terms")).alias("bucket"))
 
 
-def bm25_stored(postings: DataFrame, lengths: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def corpus_of(lengths: DataFrame) -> tuple[int, int]:
+    """The numbers of facts and of tokens of (fact_id, n)."""
+    r = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    return r["docs"], r["total"]
+
+
+def bm25_stored(postings: DataFrame, corpus: tuple[int, int], terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``bm25_one`` over a store's postings: only the folders of the query's
-    terms are read.  ``lengths`` is (fact_id, n) of every stored fact."""
+    terms are read.  ``corpus`` is as ``corpus_of`` all stored facts."""
     wanted = list(dict.fromkeys(terms))
     rows = postings.where(F.col("bucket").isin(*[bucket_of(t) for t in wanted]) & F.col("term").isin(*wanted))
-    row = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    n, total = corpus
     found = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()}  # a row a term
-    n, df = row["docs"], {t: found.get(t, 0) for t in wanted}
+    df = {t: found.get(t, 0) for t in wanted}
     kept = without_stops(terms, df, n)
     if not kept:
         return postings.sparkSession.createDataFrame([], "query_id long, fact_id long, score double")
@@ -83,7 +89,7 @@ def bm25_stored(postings: DataFrame, lengths: DataFrame, terms: list[str], k1: f
     score = F.lit(0.0)
     for t in kept:
         x = F.coalesce(F.col(f"tf{own.index(t)}"), F.lit(0))
-        score = score + weighted(x, F.col("len"), n, df[t], row["total"], k1, b)
+        score = score + weighted(x, F.col("len"), n, df[t], total, k1, b)
     return rows.select(F.lit(0).cast("long").alias("query_id"), "fact_id", F.round(score, 10).alias("score"))
 
 

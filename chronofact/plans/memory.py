@@ -88,7 +88,7 @@ class Memory:
         self.next_fact, self.next_entity, self.next_edge = (m.get(k, 0) for k in ("next_fact", "next_entity", "next_edge"))
         self.vector_space, self.rels = m.get("vector_space"), dict(m.get("rels", {}))
         self.cells = m.get("cells", {"indexed": 0, "below": 0, "probes": 0})
-        self._centres = None
+        self._centres = self._corpus = None
         self.seq, self.stream_seq = m.get("seq", 0), m.get("stream_seq", -1)
         self.held = {"entities": self.next_entity, "edges": self.next_edge}
         self.base = {t: self._stored(t) for t in SCHEMAS}
@@ -164,6 +164,14 @@ class Memory:
         new = [(i, len(tokens(f["text"]))) for i, f in self.new["facts"].items()]
         return stored.unionByName(self.spark.createDataFrame(new, LENGTHS)) if new else stored
 
+    @property
+    def corpus(self) -> tuple[int, int]:
+        """Stored facts and their tokens, those of the generation counted once."""
+        if self._corpus is None:
+            self._corpus = lexical.corpus_of(self.store.table("lengths"))
+        new = [len(tokens(f["text"])) for f in self.new["facts"].values()]
+        return self._corpus[0] + len(new), self._corpus[1] + sum(new)
+
     # Single rows ------------------------------------------------------------
 
     def _found(self, ids) -> dict[int, dict]:
@@ -459,7 +467,8 @@ class Memory:
         default = {"entity": F.lit(None).cast("string"), "tags": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>"), "recorded_at": at, "valid_from": at}
         for c, v in default.items():
             rows = rows.withColumn(c, F.coalesce(c, v) if c in rows.columns else v)
-        self.checkpoint()
+        if self.pending:
+            self.checkpoint()
         # Names are brought to their form once; everything after reads this table.
         path = self.store.staging("rows")
         rows.select("ordinal", "text", *default).withColumn("norm_name", F.array_join(tokens_udf()(F.col("entity")), " ")).write.parquet(path)
@@ -573,7 +582,7 @@ class Memory:
             vector = made[0] if made else None
         q = {k: tuple(v) if isinstance(v, list) else v for k, v in q.items()}
         query = recalls.RecallQuery(now=now_ms() if now is None else now, text=text, vector=vector, **q)
-        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, postings=self.postings, lengths=self.lengths, cells=self._nearest()), query, self.config)
+        return recalls.recall(recalls.Frames(self.facts, self.entities, self.edges, postings=self.postings, corpus=self.corpus, cells=self._nearest()), query, self.config)
 
     def get(self, fact_id: int) -> dict | None:
         try:

@@ -44,14 +44,15 @@ class RecallResult:
 @dataclass(frozen=True)
 class Frames:
     """What recall reads: facts (with ``entity`` names), entities, edge history,
-    and optionally facts already tokenised, or their postings and lengths."""
+    and optionally facts already tokenised, or their postings and
+    the numbers of facts and of tokens."""
 
     facts: DataFrame
     entities: DataFrame
     edges: DataFrame
     tokenised: DataFrame | None = None
     postings: DataFrame | None = None
-    lengths: DataFrame | None = None
+    corpus: tuple[int, int] | None = None
     cells: "CellIndex | None" = None
 
 
@@ -100,7 +101,7 @@ def sources(frames: Frames, q: RecallQuery, config: Config) -> tuple[dict[int, D
     out, walked = {}, graph.Walk()
     if q.text and (terms := tokens(q.text)):
         if frames.postings is not None:
-            scored = lexical.bm25_stored(frames.postings, frames.lengths, terms, config.bm25_k1, config.bm25_b)
+            scored = lexical.bm25_stored(frames.postings, frames.corpus, terms, config.bm25_k1, config.bm25_b)
         else:
             rows = frames.tokenised if frames.tokenised is not None else lexical.tokenised(facts)
             scored = lexical.bm25_one(rows, terms, config.bm25_k1, config.bm25_b)

@@ -197,7 +197,7 @@ def bm25_single_query(spark, d):
     from .functions.tokenizer import tokens
 
     postings, lengths = index(spark, d)
-    return lexical.top_one(lexical.bm25_stored(postings, lengths, tokens(QUERY))).select("fact_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.top_one(lexical.bm25_stored(postings, lexical.corpus_of(lengths), tokens(QUERY))).select("fact_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- vectors ----------------------------------------------------------------
@@ -388,7 +388,7 @@ def recall_hybrid(spark, d):
     near = views.read(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]
     q = recall.RecallQuery(now=NOW, as_of=LATE, text=QUERY, vector=list(near), entities=(ANCHOR,), graph_depth=1, range=(0, LATE), k=40, token_budget=200000)
     postings, lengths = index(spark, d)
-    got = recall.recall(recall.Frames(f, entities, edges, postings=postings, lengths=lengths), q, recall.Config(dim=len(near)))
+    got = recall.recall(recall.Frames(f, entities, edges, postings=postings, corpus=lexical.corpus_of(lengths)), q, recall.Config(dim=len(near)))
     rows = [(r["fact_id"], i + 1, round(r["score"], 8), r["sources"]) for i, r in enumerate(got.facts)]
     return spark.createDataFrame(rows, "fact_id long, rank int, score double, sources int")
 
